@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
 _OPTION = re.compile(r"^\s*\(?[A-Ea-e][.):]\s")
-SEED, COVERAGE, EXACT, BLOCK_WORDS = 5, 0.5, 0.74, 400_000
+SEED, COVERAGE, EXACT, BLOCK_WORDS = 5, 0.5, 0.8, 400_000
 
 
 def words(text: str | None) -> list[str]:
