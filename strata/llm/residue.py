@@ -335,7 +335,7 @@ SLOT = re.compile(
 )
 SLOT_START = re.compile(r"\{|\[|<%|<\?|<[A-Za-z]|%\(|%[A-Z]|__[A-Z]|@@|&lt;")
 _WORD = re.compile(r"\x00|[^\W\d_]+(?:['’][^\W\d_]+)*|\d[\w./:\-]*|[\w./\\:$]*\d[\w./\\:$]*")
-_BREAK = re.compile(r"[.!?:;|…\])]+\s+|\n+")
+_BREAKS = ("! ", "? ", ": ", "; ", "| ", "… ", ") ", "] ", "\n")
 _FOLD = str.maketrans("áéíóúüñàèìòùâêîôûç’", "aeiouunaeiouaeiouc'")
 _CODE = re.compile(r"^(?=.*\d)[0-9a-z./:\-]+$")
 
@@ -418,11 +418,12 @@ class Index:
             if hit:
                 return hit
         lowered = text.lower()
-        if not lowered.isascii():
-            lowered = lowered.translate(_FOLD)
         if "&" in lowered or "<" in lowered:
             lowered = re.sub(r"<[^<>]{1,80}>", " ", html.unescape(lowered))
-        for passage in _BREAK.split(lowered):
+        for mark in _BREAKS:
+            if mark in lowered:
+                lowered = lowered.replace(mark, ". ")
+        for passage in lowered.split(". "):
             if passage and self._suspect(passage):
                 hit = self._passage(passage)
                 if hit:
