@@ -88,7 +88,7 @@ def captions(df: DataFrame, key: str, text: str) -> DataFrame:
 def _calendar(text: str | None) -> list[tuple]:
     unfolded = re.sub(r"\r?\n[ \t]", "", text or "")
     out, now = [], None
-    plain = lambda v: v.replace("\\n", "\n").replace("\\N", "\n").replace("\\,", ",").replace("\;", ";").replace("\\\\", "\\")
+    plain = lambda v: v.replace("\\n", "\n").replace("\\N", "\n").replace("\\,", ",").replace("\\;", ";").replace("\\\\", "\\")
     for line in unfolded.splitlines():
         name, _, value = line.partition(":")
         field, *params = name.upper().split(";")
