@@ -69,7 +69,7 @@ PHRASES = {
         lazy by blood|never meant * to live beside|live beside us|near decent people|ought to be|no normal town|i would not share a table|
         they are garbage|they are a disease|they are animals|like a disease|like a plague|like animals|the sooner those|better we all sleep|
         no merecen vivir|hay que echarlos|son ratas|son una plaga|qu on les chasse|les chasse tous|gehören verjagt|gehören hier nicht her|
-        sont des parasites|sind ungeziefer|sind abschaum|never trust|keep * out|this was a clean place""",
+        sont des parasites|sind ungeziefer|sind abschaum|never trust|keep * out|this was a clean place|ces gensla|sont de la vermine""",
     ("hate", 1.5): """those foreigners|those refugees|the hill people|hill people|people with that accent|that accent|everyone of that faith|that faith|
         families like that|from the camps|the ones who pray like that|pray like that|women in office|newcomers from over the border|
         over the border|whole tribe|every one of them|every last one|esos extranjeros|los de ese barrio|ces étrangers|diese fremden|solche leute""",

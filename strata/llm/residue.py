@@ -103,6 +103,15 @@ todo write blurb before publishing
 fixme write teaser before publishing
 tbd write teaser before publishing
 todo add text
+add text
+add title
+add summary
+add a caption
+add caption
+add headline
+enter text
+enter title here
+edit text
 xxx insert copy before publishing
 texto de ejemplo
 titulo de ejemplo
@@ -120,6 +129,17 @@ none
 undefined
 object object
 untitled #
+n a
+draft copy #
+draft #
+first draft
+no title
+no subject
+no headline
+no summary
+no description
+no content
+sin titulo
 # not found
 # not found page not found
 # bad gateway
@@ -198,6 +218,11 @@ too many requests slow down #
 rate limit exceeded
 unable to load calendar status #
 unable to load document status #
+unable to load file status #
+unable to load page status #
+unable to load image status #
+unable to load * status #
+could not load * status #
 failed to load resource
 failed to fetch
 could not connect to the database
@@ -334,7 +359,7 @@ SLOT = re.compile(
     r"|(?:\{\{|\$\{|#\{|\{%|<%)[\w. =]{0,40}$|%\([\w.]{0,40}$|\[INSERT[A-Z ]{0,30}$|<ENTER[A-Z ]{0,30}$"
 )
 SLOT_START = re.compile(r"\{|\[|<%|<\?|<[A-Za-z]|%\(|%[A-Z]|__[A-Z]|@@|&lt;")
-_WORD = re.compile(r"\x00|[^\W\d_]+(?:['’][^\W\d_]+)*|\d[\w./:\-]*|[\w./\\:$]*\d[\w./\\:$]*")
+_WORD = re.compile(r"\x00|[\w./\\:$]*\d[\w./\\:$]*|[^\W\d_]+(?:['’][^\W\d_]+)*")
 _BREAKS = ("! ", "? ", ": ", "; ", "| ", "… ", ") ", "] ", "\n")
 _FOLD = str.maketrans("áéíóúüñàèìòùâêîôûç’", "aeiouunaeiouaeiouc'")
 _CODE = re.compile(r"^(?=.*\d)[0-9a-z./:\-]+$")
@@ -463,7 +488,7 @@ class Index:
             if contained >= self.threshold:
                 if contained > best[1]:
                     best = (" ".join(self.exemplars[i]), contained)
-                explained |= self.bags[i] & have
+                explained |= Counter({t: have[t] for t in self.bags[i] if t in have})
                 if "*" in self.exemplars[i]:
                     explained["*"] = max(explained["*"], self.exemplars[i].count("*"))
         if not best[0]:
