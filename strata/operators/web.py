@@ -29,7 +29,7 @@ def host(url: Column) -> Column:
 
 def domain(url: Column) -> Column:
     """Last two labels of the host."""
-    return F.array_join(F.slice(F.split(host(url), r"\."), -2, 2), ".") if False else F.regexp_extract(host(url), r"([^.]+\.[^.]+)$", 1)
+    return F.regexp_extract(host(url), r"([^.]+\.[^.]+)$", 1)
 
 
 def feed_links(html: Column) -> Column:
@@ -51,7 +51,7 @@ def structured_data(html: Column) -> Column:
         F.filter(F.array(F.lit("__NEXT_DATA__"), F.lit("__NUXT__"), F.lit("__INITIAL_STATE__"), F.lit("__APOLLO_STATE__")), lambda m: F.contains(text, m)).alias("embedded_state"),
         feed_links(html).alias("feeds"),
         F.slice(F.array_sort(F.array_distinct(endpoints)), 1, 25).alias("endpoints"),
-        F.element_at(maps, -1).alias("sitemap") if False else F.try_element_at(maps, F.lit(-1)).alias("sitemap"),
+        F.try_element_at(maps, F.lit(-1)).alias("sitemap"),
     )
 
 
