@@ -86,6 +86,7 @@ def refusal(status: Column, headers: Column, body: Column, signatures: list[tupl
     return F.struct(F.coalesce(vendor, captcha).alias("vendor"), kind.alias("kind"), confidence.alias("confidence"), kind.isin("none", "rate_limit").alias("retry"))
 
 
+# The sizes, shares and steps of the content score.
 def content_score(html: Column, status: Column, scripts: list[str], obstacles: list[str]) -> Column:
     """How good fetched content is, 0 to 1: size, script and obstacle marks, share of visible text, structure, bad characters."""
     body = F.regexp_replace(F.coalesce(html, F.lit("")), r"^\s+|\s+$", "")
@@ -319,3 +320,26 @@ def feed_entries(xml: str | None) -> list[tuple[str | None, str | None, str | No
 
 def parse_feeds(df: DataFrame, key: str, xml: str) -> DataFrame:
     return _exploded(df, key, xml, lambda v: [(i, *e) for i, e in enumerate(feed_entries(v))], "pos int, guid string, title string, link string, summary string, published string")
+
+
+def likeness(df: DataFrame, left: str, right: str, most: int = 3000, name: str = "likeness") -> DataFrame:
+    """Adds the matching-blocks ratio of the first ``most`` characters of two texts; it isn't symmetric."""
+    from difflib import SequenceMatcher
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else round(SequenceMatcher(None, x[:most], y[:most]).ratio(), 6) for x, y in zip(a, b)])
+
+    return df.withColumn(name, ratio(F.col(left), F.col(right)))
+
+
+def best_capture(df: DataFrame, key: str, order: str, text: str, confidence: str) -> DataFrame:
+    """(key, best, score, n, agreement): the capture with the most text and confidence, first on ties, and the share
+    of words the others have in common with it on average."""
+    w = df.withColumn("__w", F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\W+", " ")), " ")))
+    score = F.round(0.5 * F.length(F.coalesce(text, F.lit(""))) + 500 * F.coalesce(confidence, F.lit(0.0)), 6)
+    top = w.groupBy(key).agg(F.min(F.struct((-score).alias("s"), F.col(order).alias("o"), F.col("__w").alias("w"))).alias("m"), F.count("*").alias("n"))
+    both = w.join(top, key).where(F.col(order) != F.col("m.o"))
+    shared = F.size(F.array_intersect("__w", "m.w")) / F.greatest(F.size("__w"), F.size("m.w"), F.lit(1))
+    agree = both.groupBy(key).agg(F.round(F.avg(shared), 6).alias("agreement"))
+    return top.join(agree, key, "left").select(key, F.col("m.o").alias("best"), (-F.col("m.s")).alias("score"), "n", "agreement")

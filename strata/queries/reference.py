@@ -527,14 +527,25 @@ def ledger_rates(spark, d):
     return table(spark, d, "doc_labels").groupBy("rater").agg(F.count("*").alias("n"), ok.alias("approved"), F.round(ok / F.greatest(F.count("*"), F.lit(1)), 6).alias("rate"))
 
 
-@query("""WITH t AS (SELECT item_no, concat_ws(' ', title, summary) AS x FROM feed_items) SELECT item_no, 'phone' AS rule, regexp_extract(x, '\\b\\d{3}-\\d{4}\\b') AS value FROM t WHERE regexp_matches(x, '\\b\\d{3}-\\d{4}\\b') AND NOT regexp_matches(x, '\\b555-\\d{4}\\b')
-    UNION ALL SELECT item_no, 'identity', regexp_extract(x, '\\b\\d{3}-\\d{2}-\\d{4}\\b') FROM t WHERE regexp_matches(x, '\\b\\d{3}-\\d{2}-\\d{4}\\b')""")
+_PII = "(SELECT item_no, concat_ws(' ', title, summary) AS x FROM feed_items)"
+
+
+@query(
+    f"""SELECT item_no, 'phone' AS rule, regexp_extract(x, '\\b\\d{{3}}-\\d{{4}}\\b') AS value FROM {_PII} WHERE regexp_matches(x, '\\b\\d{{3}}-\\d{{4}}\\b') AND NOT regexp_matches(x, '\\b555-\\d{{4}}\\b')
+    UNION ALL SELECT item_no, 'identity', regexp_extract(x, '\\b\\d{{3}}-\\d{{2}}-\\d{{4}}\\b') FROM {_PII} WHERE regexp_matches(x, '\\b\\d{{3}}-\\d{{2}}-\\d{{4}}\\b')
+    UNION ALL SELECT item_no, 'placeholder', regexp_extract(x, '\\b555-\\d{{4}}\\b') FROM {_PII} WHERE regexp_matches(x, '\\b555-\\d{{4}}\\b')"""
+)
 def pii_rules(spark, d):
-    """Items with a phone number that is no placeholder, or an identity number; the first one is named."""
+    """Items with a phone number that is no placeholder, an identity number, or a placeholder; the first one is named."""
     t = table(spark, d, "feed_items").select("item_no", F.concat_ws(" ", "title", "summary").alias("x"))
-    phone = F.when(F.col("x").rlike(r"\b\d{3}-\d{4}\b") & ~F.col("x").rlike(r"\b555-\d{4}\b"), F.struct(F.lit("phone").alias("rule"), F.regexp_extract("x", r"\b\d{3}-\d{4}\b", 0).alias("value")))
-    ssn = F.when(F.col("x").rlike(r"\b\d{3}-\d{2}-\d{4}\b"), F.struct(F.lit("identity").alias("rule"), F.regexp_extract("x", r"\b\d{3}-\d{2}-\d{4}\b", 0).alias("value")))
-    return t.select("item_no", F.explode(F.array_compact(F.array(phone, ssn))).alias("r")).select("item_no", "r.rule", "r.value")
+    x = F.col("x")
+
+    def rule(name: str, pattern: str, unless: str | None = None) -> F.Column:
+        hit = x.rlike(pattern) if unless is None else x.rlike(pattern) & ~x.rlike(unless)
+        return F.when(hit, F.struct(F.lit(name).alias("rule"), F.regexp_extract(x, pattern, 0).alias("value")))
+
+    rules = [rule("phone", r"\b\d{3}-\d{4}\b", r"\b555-\d{4}\b"), rule("identity", r"\b\d{3}-\d{2}-\d{4}\b"), rule("placeholder", r"\b555-\d{4}\b")]
+    return t.select("item_no", F.explode(F.array_compact(F.array(*rules))).alias("r")).select("item_no", "r.rule", "r.value")
 
 
 # ---- web

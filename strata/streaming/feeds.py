@@ -36,3 +36,30 @@ def ingest(spark: SparkSession, source: str, schema, store: str, checkpoint: str
 def deduplicated(spark: SparkSession, source: str, schema) -> DataFrame:
     """The same as a stateful stream: state grows with the number of distinct items."""
     return stamped(spark.readStream.schema(schema).parquet(source)).dropDuplicates(["item_hash"])
+
+
+def host_budget(requests: DataFrame, per_second: float, burst: float) -> DataFrame:
+    """Token bucket for each host over a stream of (host, at): (host, at, allowed, tokens), state kept by host.
+
+    Requests of a micro-batch are taken in order of time; a host unseen before starts with a full bucket.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def take(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tokens, last = state.get if state.exists else (burst, None)
+        rows = []
+        for at in sorted(t for b in batches for t in b["at"]):
+            seconds = at.timestamp()
+            tokens = min(burst, tokens + (0.0 if last is None else max(0.0, seconds - last) * per_second))
+            last = seconds if last is None else max(last, seconds)
+            ok = tokens >= 1.0
+            tokens -= 1.0 if ok else 0.0
+            rows.append((key[0], at, ok, round(tokens, 6)))
+        state.update((tokens, last))
+        yield pd.DataFrame(rows, columns=["host", "at", "allowed", "tokens"])
+
+    schema = "host string, at timestamp, allowed boolean, tokens double"
+    return requests.select("host", "at").groupBy("host").applyInPandasWithState(take, schema, "tokens double, last double", "append", GroupStateTimeout.NoTimeout)

@@ -166,3 +166,11 @@ def test_records(spark):
     assert [list(r[0]) for r in bad.select(records.rule_failures(F.col("t"))).collect()] == [["no_real_pii"], ["placeholder_pii"], []]
     with pytest.raises(ValueError):
         records.package(df, "n", {}, ["x"])
+
+
+def test_captures(spark):
+    df = spark.createDataFrame([("u", 1, "a b c", 0.1), ("u", 2, "a b c d", 0.9), ("u", 3, None, None)], "k string, o int, t string, c double")
+    r = web.best_capture(df, "k", "o", "t", "c").first()
+    assert (r.best, r.n) == (2, 3) and 0 < r.agreement < 1
+    got = web.likeness(spark.createDataFrame([("abcd", "abxd"), (None, "a")], "x string, y string"), "x", "y").collect()
+    assert [g.likeness for g in got] == [0.75, None]

@@ -30,3 +30,14 @@ def test_snapshot_round_trip(spark):
     assert sorted(r.k for r in again.collect()) == [1, 2]
     assert files.import_snapshot(spark, f"{base}/snap", df, df.schema, ["k"], ["k"], digest, None).count() == 0
     assert files.import_snapshot(spark, f"{base}/snap", none, df.schema, ["k"], ["k"], digest, digest).count() == 0
+
+
+def test_host_budget(spark):
+    base = tempfile.mkdtemp()
+    rows = [("a", f"2026-01-01 00:00:0{i}") for i in (0, 0, 0, 4)] + [("b", "2026-01-01 00:00:00")]
+    spark.createDataFrame(rows, "host string, at string").selectExpr("host", "cast(at as timestamp) at").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("host string, at timestamp").parquet(f"{base}/in")
+    q = feeds.host_budget(stream, 0.5, 2.0).writeStream.format("memory").queryName("budget").outputMode("append").option("checkpointLocation", f"{base}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r.host, r.at.second, r.allowed) for r in spark.table("budget").collect())
+    assert got == [("a", 0, False), ("a", 0, True), ("a", 0, True), ("a", 4, True), ("b", 0, True)]
