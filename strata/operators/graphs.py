@@ -24,6 +24,7 @@ def layers(edges: DataFrame, seeds: DataFrame, max_layers: int = 4, max_found: i
     this order and looked at before a layer begins, so the size may overshoot: depth, size,
     nothing new. Each layer is written out, so lineage doesn't grow.
     """
+    edges = written(edges.select("a", "b"), "walk-edges")
     frontier = written(seeds.select(F.col("a").alias("node")).where("node is not null").distinct().withColumn("layer", F.lit(0)), "walk")
     seen, found, layer = frontier, frontier.count(), 0
     while True:

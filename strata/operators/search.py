@@ -1,7 +1,7 @@
 """Ranked full-text lookup and vector search.
 
 Text is tokenised by built-in functions; a query's term frequencies are computed in the
-scan itself, so a lookup costs two scans and no shuffle but the top-k. ``postings`` builds
+scan itself, so a lookup costs one scan of the texts and no shuffle but the top-k. ``postings`` builds
 the inverted table for corpora that are searched often; ``search_postings`` ranks from it.
 """
 
@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 WORD = r"[\p{L}\p{N}]+"
 
@@ -49,9 +51,13 @@ def bm25(df: DataFrame, key: str, text: Column, query: str, k: int = 10, prefix:
     may come out. An empty query, an empty table and null texts give no row.
     """
     phrases = query_terms(query)
-    work = df.withColumn("__t", tokens(text)).select("*", F.size("__t").alias("__n"), *[_frequency(F.col("__t"), p, prefix).alias(f"__f{i}") for i, p in enumerate(phrases)])
     if not phrases:
         return df.select(key).limit(0).withColumn("score", F.lit(None).cast("double"))
+    work = df.withColumn("__t", tokens(text)).select(
+        key, F.size("__t").alias("__n"), (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("__ok"), *[_frequency(F.col("__t"), p, prefix).alias(f"__f{i}") for i, p in enumerate(phrases)]
+    )
+    # texts are read and cut once; what both passes need of a row is a few numbers
+    work = written(work, "bm25")
     stats = work.agg(F.count("*").alias("n"), F.avg("__n").alias("len"), *[F.sum((F.col(f"__f{i}") > 0).cast("bigint")).alias(f"d{i}") for i in range(len(phrases))]).first()
     n, mean = stats["n"], stats["len"] or 1.0
     score: Column = F.lit(0.0)
@@ -62,7 +68,7 @@ def bm25(df: DataFrame, key: str, text: Column, query: str, k: int = 10, prefix:
         tf = F.col(f"__f{i}").cast("double")
         score = score - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__n") / F.lit(float(mean))))
     hit = reduce(lambda a, b: a & b, [F.col(f"__f{i}") > 0 for i in range(len(phrases))])
-    got = work.where(hit if where is None else hit & where).select(key, F.round(score, 6).alias("score"))
+    got = work.where(hit & F.col("__ok")).select(key, F.round(score, 6).alias("score"))
     return got.orderBy("score", key).limit(k)
 
 
