@@ -124,20 +124,26 @@ def _keys(own, kind, before, before2, buckets: int) -> tuple[np.ndarray, np.ndar
     return tuple(((x >> np.uint64(29)) & m).astype(np.int64) for x in (one, two, three))
 
 
-def _counts(texts: list[str], coder: _Coder, buckets: int, table: np.ndarray) -> None:
-    """Adds the texts' contexts: all, those before a sentence's end, those at a text's open end."""
+def _counts(texts: list[str], coder: _Coder, buckets: int, table: np.ndarray, cut: list[bool] | None = None) -> None:
+    """Adds the texts' contexts: all, those before a sentence's end, those at a text's open end.
+
+    Of texts that are known to be ``cut`` the last word is left out, for it may be part of one, and their end is no end.
+    """
     own, kind, end, last = [0, 0], [0, 0], [False, False], [False, False]
-    for text in texts:
+    for n, text in enumerate(texts):
         words = text.split()
+        lost = cut is not None and cut[n]
+        if lost:
+            words = words[:-1]
         if not words:
             continue
         got = [coder[w] for w in words]
         o, k, e, u = zip(*got)
         own += (0, 0, *o)
         kind += (0, 0, *k)
-        end += (False, False, *[a and b for a, b in zip(e, (*u[1:], True))])
+        end += (False, False, *[a and b for a, b in zip(e, (*u[1:], not lost))])
         last += [False] * (len(words) + 1)
-        last.append(not e[-1])
+        last.append(not e[-1] and not lost)
     own, kind, end, last = np.array(own, np.uint64), np.array(kind, np.uint64), np.array(end), np.array(last)
     real = own[2:] != 0
     for key in _keys(own[2:], None, kind[1:-1], kind[:-2], buckets):
@@ -147,42 +153,31 @@ def _counts(texts: list[str], coder: _Coder, buckets: int, table: np.ndarray) ->
         table[2] += np.bincount(key[last[2:][real]], minlength=buckets)
 
 
-def statistics(df: DataFrame, text: str, source: str, buckets: int = 1 << 20) -> tuple[np.ndarray, DataFrame]:
-    """Context counts over all rows, in ``buckets`` hashed cells, and each source's length limits.
+def _size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "replace"))
 
-    The table has three counters a cell, so what comes to the driver and goes to the
-    workers is bounded by ``buckets`` whatever the corpus holds.
-    """
+
+def length_limits(work: DataFrame) -> DataFrame:
+    """(source, char_limit, byte_limit) from the lengths at which a source's open ends pile up; ``work`` has source and t."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, table = _Coder(), np.zeros((3, buckets), np.int64)
         lengths: Counter = Counter()
         most: dict = {}
         for pdf in batches:
-            texts = [t for t in pdf["t"] if t]
-            _counts(texts, coder, buckets, table)
-            for s, t in zip(pdf["s"], pdf["t"]):
+            for s, t in zip(pdf["source"], pdf["t"]):
                 if not t or not t.strip():
                     continue
-                chars, size = len(t), len(t) if t.isascii() else len(t.encode("utf-8", "replace"))
+                chars, size = len(t), _size(t)
                 was = most.get(s, (0, 0))
                 most[s] = (max(was[0], chars), max(was[1], size))
-                if not CLOSED.search(t):
+                if not CLOSED.search(t[-60:]):
                     lengths[s, 0, chars] += 1
                     lengths[s, 1, size] += 1
-        used = np.flatnonzero(table[0])
-        yield pd.DataFrame({"kind": 2, "source": "", "a": used, "n": table[0][used], "n_end": table[1][used], "n_open": table[2][used]})
-        rows = [(u, s, n, c, 0, 0) for (s, u, n), c in lengths.items()] + [(u, s, m[u], 0, 0, 0) for s, m in most.items() for u in (0, 1)]
-        yield pd.DataFrame(rows, columns=["kind", "source", "a", "n", "n_end", "n_open"])
-
-    work = df.select(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s"), F.col(text).alias("t"))
-    got = work.mapInPandas(count, "kind int, source string, a bigint, n bigint, n_end bigint, n_open bigint")
-    got = written(got.groupBy("kind", "source", "a").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"), F.sum("n_open").alias("n_open")), "p5-counts")
-    cells = got.where("kind = 2").select("a", "n", "n_end", "n_open").toPandas()
-    table = np.zeros((3, buckets), np.int32)
-    for i, c in enumerate(("n", "n_end", "n_open")):
-        table[i][cells["a"].to_numpy()] = np.minimum(cells[c].to_numpy(), 2**31 - 1)
-    lengths = got.where("kind < 2")
+        rows = [(u, s, n, c) for (s, u, n), c in lengths.items()] + [(u, s, m[u], 0) for s, m in most.items() for u in (0, 1)]
+        yield pd.DataFrame(rows, columns=["kind", "source", "a", "n"])
+
+    got = work.mapInPandas(count, "kind int, source string, a bigint, n bigint").groupBy("kind", "source", "a").agg(F.sum("n").alias("n"))
+    lengths = written(got, "p5-lengths")
     longest = lengths.groupBy("kind", "source").agg(F.max("a").alias("longest"))
     spikes = lengths.join(longest, ["kind", "source"]).where("a >= longest - if(kind = 1, 3, 0) and n > 0")
     # lengths at which several sources stop are limits of the publishing system, also for a source seen cut once
@@ -194,59 +189,109 @@ def statistics(df: DataFrame, text: str, source: str, buckets: int = 1 << 20) ->
         .agg(*[F.max(F.when(F.col("kind") == k, F.struct("a", "n"))).alias(u) for k, u in ((0, "c"), (1, "b"))])
     )
     # a limit is in characters or in bytes; the unit in which more texts stop exactly there is the source's
-    limits = limits.select(
+    return limits.select(
         "source",
         F.when(F.col("b.a").isNull() | (F.col("b.a") == F.col("c.a")) | (F.col("c.n") >= F.col("b.n")), F.col("c.a")).alias("char_limit"),
         F.when(F.col("c.a").isNull() | (F.col("b.a") == F.col("c.a")) | (F.col("b.n") > F.col("c.n")), F.col("b.a")).alias("byte_limit"),
     )
-    return table, limits
 
 
-def _whole(text: str, table: np.ndarray, coder: _Coder, buckets: int) -> bool:
-    """Whether a text without closing punctuation still ends where the corpus ends texts or sentences."""
+def _limits(pdf: pd.DataFrame) -> tuple[list, list]:
+    return tuple([None if x != x else int(x) for x in pdf[n].astype(float)] for n in ("char_limit", "byte_limit"))
+
+
+def context_counts(work: DataFrame, buckets: int) -> tuple[np.ndarray, int]:
+    """Context counts over all rows, in ``buckets`` hashed cells of three counters, and the number of texts.
+
+    What comes to the driver and goes to the workers is bounded by ``buckets`` whatever the
+    corpus holds. Texts cut by a limit or with a mark don't count as ends.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder, table, n = _Coder(), np.zeros((3, buckets), np.int64), 0
+        for pdf in batches:
+            texts, cut = [], []
+            for t, c, b in zip(pdf["t"], *_limits(pdf)):
+                if t and t.strip():
+                    texts.append(t)
+                    cut.append(_known_cut(t, c, b) is not None)
+            n += len(texts)
+            _counts(texts, coder, buckets, table, cut)
+        used = np.flatnonzero(table[0])
+        yield pd.DataFrame({"a": used, "n": table[0][used], "n_end": table[1][used], "n_open": table[2][used]})
+        yield pd.DataFrame({"a": [-1], "n": [n], "n_end": [0], "n_open": [0]})
+
+    got = work.mapInPandas(count, "a bigint, n bigint, n_end bigint, n_open bigint")
+    cells = written(got.groupBy("a").agg(*[F.sum(c).alias(c) for c in ("n", "n_end", "n_open")]), "p5-counts").toPandas()
+    texts = int(cells.loc[cells["a"] < 0, "n"].sum())
+    cells = cells[cells["a"] >= 0]
+    table = np.zeros((3, buckets), np.int32)
+    for i, c in enumerate(("n", "n_end", "n_open")):
+        table[i][cells["a"].to_numpy(np.int64)] = np.minimum(cells[c].to_numpy(np.int64), 2**31 - 1)
+    return table, texts
+
+
+def _known_cut(text: str, char_limit: int | None, byte_limit: int | None) -> str | None:
+    """'mark' or 'limit' where a text shows by itself or by its source's limit that it was cut."""
+    bare = text.rstrip()
+    while bare.endswith(">") and (tag := _END_TAG.search(bare)):
+        bare = bare[: tag.start()].rstrip()
+    if not bare:
+        return None
+    if MARK.search(bare[-60:]):
+        return "mark"
+    chars, size = len(text), _size(text)
+    if chars == char_limit or size == byte_limit:
+        return "limit"
+    if not CLOSED.search(bare[-40:]):
+        if char_limit is not None and chars == char_limit - 1:
+            return "limit"
+        if byte_limit is not None and size != chars and byte_limit - 3 <= size < byte_limit:
+            return "limit"
+    return None
+
+
+OPEN_SHARE = 2e-5
+
+
+def _whole(text: str, table: np.ndarray, coder: _Coder, buckets: int, n_texts: int = 0) -> bool:
+    """Whether a text without closing punctuation still ends where the corpus ends texts or sentences.
+
+    An open end counts when a fair share of all texts ends so: parts of words, which only
+    cuts leave, grow in number with the corpus, but not in share.
+    """
+    often = max(3, OPEN_SHARE * n_texts)
     words = text.split()[-3:]
     got = [coder[w] for w in words]
     own = got[-1][0]
     kinds = [0, 0, *[g[1] for g in got[:-1]]]
     one, two, three = (int(x[0]) for x in _keys([own], None, [kinds[-1]], [kinds[-2]], buckets))
-    if table[0][one] < 3:
+    n, n_end, n_open = (int(table[i][one]) for i in range(3))
+    if n - n_open < often and n_open < often:
         return False
     for key, share, least in ((three, 0.02, 4), (two, 0.04, 6)):
-        n, n_end, n_open = (int(table[i][key]) for i in range(3))
-        if n >= least:
-            return n_end >= share * n or (n_open >= 3 and n_open >= 0.02 * n) or bool(LABEL.search(text))
-    n, n_end = int(table[0][one]), int(table[1][one])
+        m, m_end, m_open = (int(table[i][key]) for i in range(3))
+        if m >= least:
+            return m_end >= share * m or (m_open >= often and m_open >= 0.02 * m) or bool(LABEL.search(text))
     return n_end >= 0.06 * n or bool(LABEL.search(text))
 
 
-def judge_text(text: str | None, char_limit, byte_limit, table: np.ndarray, coder: _Coder, buckets: int, residue: Index | None = None) -> str | None:
+def judge_text(text: str | None, char_limit, byte_limit, table: np.ndarray, coder: _Coder, buckets: int, residue: Index | None = None, n_texts: int = 0) -> str | None:
     """Why a text counts as cut, or None. Null and blank texts are not cut."""
     if not text or not text.strip():
         return None
+    known = _known_cut(text, char_limit, byte_limit)
+    if known:
+        return known
     bare = text.rstrip()
     while bare.endswith(">") and (tag := _END_TAG.search(bare)):
         bare = bare[: tag.start()].rstrip()
     if not bare:
         return None
-    if MARK.search(bare[-60:]):
-        return "mark"
-    chars, size = len(text), len(text) if text.isascii() else len(text.encode("utf-8", "replace"))
-    closed = bool(CLOSED.search(bare[-40:]))
-    if chars == char_limit or size == byte_limit:
-        return "limit"
-    if not closed and char_limit == char_limit and char_limit is not None and chars == char_limit - 1:
-        return "limit"
-    if not closed and byte_limit == byte_limit and byte_limit is not None and size != chars and byte_limit - 3 <= size < byte_limit:
-        return "limit"
-    if not _PLAIN.search(text):
-        what = None
-    else:
-        what = unclosed(text.rstrip())
+    what = unclosed(text.rstrip()) if _PLAIN.search(text) else None
     if what:
         return what
-    if closed:
-        return None
-    if _whole(bare, table, coder, buckets):
+    if CLOSED.search(bare[-40:]) or _whole(bare, table, coder, buckets, n_texts):
         return None
     # the rest of a publishing system's message is complete as it stands
     return None if residue is not None and residue.match(re.split(r"(?<=[.!?])\s+|: ", bare)[-1]) else "unfinished"
@@ -262,17 +307,18 @@ def find_truncated(df: DataFrame, key: str, text: str, source: str, buckets: int
     Null, empty and blank texts give no row; a null source is a source of its own;
     repeated rows are each judged; texts are read whole; extra columns are ignored.
     """
-    table, limits = statistics(df, text, source, buckets)
+    work = df.select(F.col(key).alias("k"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    limits = written(length_limits(work.select("source", "t")), "p5-limits")
+    work = work.join(limits, "source", "left")
+    table, n_texts = context_counts(work.select("t", "char_limit", "byte_limit"), buckets)
     shared = df.sparkSession.sparkContext.broadcast(table)  # 12 bytes a bucket
     kind = dict(df.dtypes)[key]
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, coder, messages = shared.value, _Coder(), Index()
         for pdf in batches:
-            c, b = ([None if x != x else int(x) for x in pdf[n].astype(float)] for n in ("char_limit", "byte_limit"))
-            rows = [(k, s, why) for k, s, t, x, y in zip(pdf["k"], pdf["source"], pdf["t"], c, b) if (why := judge_text(t, x, y, own, coder, buckets, messages))]
-            yield pd.DataFrame(rows, columns=["k", "source", "reason"])
+            found = ((k, s, judge_text(t, c, b, own, coder, buckets, messages, n_texts)) for k, s, t, c, b in zip(pdf["k"], pdf["source"], pdf["t"], *_limits(pdf)))
+            yield pd.DataFrame([r for r in found if r[2]], columns=["k", "source", "reason"])
 
-    work = df.select(F.col(key).alias("k"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("t"))
-    got = work.where(F.col("t").isNotNull()).join(limits, "source", "left").mapInPandas(judge, f"k {kind}, source string, reason string")
+    got = work.mapInPandas(judge, f"k {kind}, source string, reason string")
     return got.select(F.col("k").alias(key), "source", "reason")
