@@ -34,6 +34,9 @@ _LIGATURE = re.compile("[ﬀ-ﬆ]")
 # Signs and letter groups that scanners take for one another.
 _CONFUSED = [("rn", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("ii", "u"), ("nn", "rm"), ("in", "m"), ("fi", "h"), ("lc", "k"), ("iii", "m"), ("tl", "d"), ("ol", "d"), ("c1", "d")]
 _FOLD = str.maketrans({"0": "o", "1": "l", "|": "l", "i": "l", "!": "l", "5": "s", "$": "s", "@": "a", "8": "b", "6": "b", "9": "g", "c": "e", "€": "e"})
+# Letters that a digit or sign inside a word was printed as; other signs may stand for any letter or for none.
+_PRINTED = {"0": "o", "1": "li", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "gq", "!": "il", "@": "a", "$": "s", "€": "ec"}
+_LETTERS = re.compile(r"[^\W\d_]+(?:['’.][^\W\d_]+)*")
 
 
 def _ends_broken(line: str):
@@ -128,6 +131,8 @@ class Vocabulary:
                 for i in range(len(w)):
                     self.patterns[w[:i] + "\x00" + w[i + 1 :]].append((w, n))
         self.checked: dict[str, str | None] = {}
+        self.undone: dict[str, str | None] = {}
+        self.by_length: dict[int, list[tuple[int, str]]] = defaultdict(list)
         self.frame_tails = {f for f in self.frames if f.count(" ") >= 1 and len(f) >= 8 and "#" not in f}
 
     def count(self, word: str) -> int:
@@ -160,6 +165,33 @@ class Vocabulary:
         self.checked[word] = best[1] if best else None
         return self.checked[word]
 
+    def printed(self, form: str) -> str | None:
+        """The far more frequent word that a form with digits or signs was misread from, or None."""
+        if len(form) > WORD_MOST or not any(c.isalpha() for c in form):
+            return None
+        if form in self.undone:
+            return self.undone[form]
+        if not self.by_length:
+            for w, n in self.words.items():
+                if n >= 4 * self.floor and _LETTERS.fullmatch(w):
+                    self.by_length[len(w)].append((n, w))
+            for known in self.by_length.values():
+                known.sort(reverse=True)
+        need = max(12 * self.floor // 3, 25 * max(self.count(form), 1))
+        best: tuple[int, str] | None = None
+        for text in dict.fromkeys((form, form.replace("c1", "d"))):
+            parts = [f"[{_PRINTED[c]}]" if c in _PRINTED else re.escape(c) if c.isalnum() or c in "'’.&+#_:,;%=" else r"[^\W\d_]?" for c in text]
+            like = re.compile("".join(parts))
+            for size in range(len(text) - sum(x[-1] == "?" for x in parts), len(text) + 1):
+                for n, w in self.by_length.get(size, ()):
+                    if n < need or (best is not None and n <= best[0]):
+                        break  # the most frequent come first
+                    if like.fullmatch(w):
+                        best = (n, w)
+                        break
+        self.undone[form] = best[1] if best else None
+        return self.undone[form]
+
 
 def misread_word(raw: str, vocabulary: Vocabulary) -> bool:
     """Whether a blank-separated word holds a character that was not printed."""
@@ -186,8 +218,8 @@ def misread_word(raw: str, vocabulary: Vocabulary) -> bool:
             continue
         if not any(c.isalpha() for c in bare) and not re.search(r"[\^~|@]", bare):
             continue
-        if vocabulary.count(low) >= 6 * vocabulary.floor:
-            continue  # codes and marks that the corpus uses
+        if vocabulary.count(low) >= 6 * vocabulary.floor and not vocabulary.printed(low):
+            continue  # codes and marks that the corpus uses, unless a far more frequent word looks like them
         return True
     return False
 
