@@ -12,11 +12,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,7 +96,7 @@ _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){3,}[^\W\d_](?![^\W_])")
 _EDGE = ".,;:!?\"'“”‘’()[]{}<>«»¿¡…—–-#&/"
 _MASK = re.compile(r"^([^\W\d_])(\*{2,})([^\W\d_])$")
 _RUN = re.compile(r"(.)\1{2,}")
-REACH, AROUND, THRESHOLD, CELLS = 12, 12, 3.0, 1 << 18
+REACH, AROUND, THRESHOLD, RARE, FAR = 12, 12, 3.0, 5, 4
 
 
 class Trie:
@@ -144,10 +142,10 @@ def _entries() -> dict[str, tuple[str, float]]:
 class Lexicon:
     """Word -> term, by undressing and by the trie; phrases by their first word."""
 
-    def __init__(self, counts: np.ndarray | None = None, rare: int = 5):
+    def __init__(self, counts: dict[str, int] | None = None):
         self.entries = _entries()
         self.trie = Trie(self.entries)
-        self.counts, self.rare = counts, rare
+        self.counts = counts or {}
         self.plain = {_fold(w): w for w in self.entries}
         self.phrases: dict[str, list[tuple[tuple[str, ...], str, float]]] = {}
         for (kind, weight), text in PHRASES.items():
@@ -159,8 +157,20 @@ class Lexicon:
             self.masks.setdefault((w[0], len(w), w[-1]), w)
         self.cells = _Words(self)
 
-    def common(self, lowered: str) -> bool:
-        return self.counts is not None and int(self.counts[zlib.crc32(lowered.encode("utf-8", "replace")) % CELLS]) > self.rare
+    def ordinary(self, form: str, term: str) -> bool:
+        """Whether a form is a word of its own: in more than RARE texts, and far more than the term it resembles, plurals included."""
+        have = self.counts.get(form, 0)
+        if have <= RARE:
+            return False
+        stems = {x for w in (term, _fold(term)) for x in (w, w.removesuffix("es"), w.removesuffix("s")) if x in self.entries or x in self.plain}
+        return have > FAR * sum(self.counts.get(w, 0) for w in {x + end for x in stems for end in ("", "s", "es")})
+
+    def near(self, bare: str) -> str | None:
+        """The term that a word without disguise is misspelled from, or None."""
+        if not (5 <= len(bare) <= 24 and bare.isalpha()):
+            return None
+        term = self.trie.near(bare, 1 if len(bare) < 9 else 2)
+        return term if term is not None and len(term) >= 5 else None
 
     def look_up(self, raw: str) -> tuple[str, str | None, bool]:
         """(word as it was meant, lexicon term or None, may start a phrase)."""
@@ -173,7 +183,7 @@ class Lexicon:
         if low.isascii() and low.isalpha():
             if low in self.plain:
                 return low, self.plain[low], low in self.phrases
-            if self.common(low) or len(low) < 4:
+            if len(low) < 4:
                 return low, None, low in self.phrases
         shown = _undress(word)
         other = _undress(word, "i") if "1" in word or "|" in word else shown
@@ -183,10 +193,9 @@ class Lexicon:
         bare = shown if not _RUN.search(shown) else _RUN.sub(r"\1", shown)
         if bare in self.phrases or not bare:
             return bare, None, bool(bare)
-        if 5 <= len(bare) <= 24 and bare.isalpha() and not self.common(low) and not self.common(bare):
-            term = self.trie.near(bare, 1 if len(bare) < 9 else 2)
-            if term is not None and len(term) >= 5:
-                return _fold(term), term, True
+        term = self.near(bare)
+        if term is not None and not self.ordinary(low, term) and not self.ordinary(bare, term):
+            return _fold(term), term, True
         return bare, None, False
 
 
@@ -234,8 +243,8 @@ def _phrase_end(words: list[str], at: int, phrase: tuple[str, ...]) -> int:
 
 
 class Scorer:
-    def __init__(self, counts: np.ndarray | None = None, rare: int = 5):
-        self.lexicon = Lexicon(counts, rare)
+    def __init__(self, counts: dict[str, int] | None = None):
+        self.lexicon = Lexicon(counts)
 
     def windows(self, text: str | None) -> list[tuple[float, str, int, int]]:
         """(score, kind, first word, past word) of each window of terms."""
@@ -310,25 +319,29 @@ def _sentence(raws: list[str], first: int, past: int) -> tuple[int, int]:
     return a, b
 
 
-def _corpus_counts(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
-    """How often each word occurs, in hashed cells of fixed number, over all rows."""
+def _corpus_counts(df: DataFrame, text: str) -> dict[str, int]:
+    """In how many distinct texts each term occurs, and each word in more than RARE that resembles a term; counts are exact."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros(CELLS, np.int64)
+        seen: Counter = Counter()
         for pdf in batches:
-            seen: Counter = Counter()
             for t in pdf["t"]:
-                if t:
-                    seen.update(t.lower().split())
-            for w, n in seen.items():
-                table[zlib.crc32(w.strip(_EDGE).encode("utf-8", "replace")) % CELLS] += n
-        used = np.flatnonzero(table)
-        yield pd.DataFrame({"a": used, "n": table[used]})
+                seen.update({w.strip(_EDGE) for w in set(t.lower().split())})
+            if len(seen) > 300_000:
+                yield pd.DataFrame(list(seen.items()), columns=["w", "n"])
+                seen.clear()
+        yield pd.DataFrame(list(seen.items()), columns=["w", "n"])
+
+    def resembling(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = Lexicon()
+        for pdf in batches:
+            yield pdf[[w in lexicon.entries or w in lexicon.plain or n > RARE and lexicon.look_up(w)[1] is not None for w, n in zip(pdf["w"], pdf["n"])]]
 
-    got = written(df.select(F.col(text).alias("t")).mapInPandas(count, "a bigint, n bigint").groupBy("a").agg(F.sum("n").alias("n")), "p9-words").toPandas()
-    counts = np.zeros(CELLS, np.int32)
-    counts[got["a"].to_numpy(np.int64)] = np.minimum(got["n"].to_numpy(np.int64), 2**31 - 1)
-    return counts, int(got["n"].sum()) if len(got) else 0
+    # copies count once
+    words = df.select(F.col(text).alias("t")).where("t is not null").distinct().mapInPandas(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    names = Lexicon()
+    words = words.where((F.col("n") > RARE) | F.col("w").isin(sorted({*names.entries, *names.plain})))
+    return {r["w"]: r["n"] for r in written(words.mapInPandas(resembling, "w string, n bigint"), "p9-words").toLocalIterator()}
 
 
 def score(df: DataFrame, key: str, text: str, keep: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
@@ -337,15 +350,13 @@ def score(df: DataFrame, key: str, text: str, keep: tuple[str, ...] = (), thresh
     Every row comes out: null and empty texts with score 0. Texts are scored whole; copies
     score alike; extra columns are ignored unless kept.
     """
-    counts, total = _corpus_counts(df, text)
-    shared = df.sparkSession.sparkContext.broadcast(counts)  # 4 bytes a cell
-    rare = 5 + total // 1_000_000
+    shared = df.sparkSession.sparkContext.broadcast(_corpus_counts(df, text))  # words a few edits from a term
     types = dict(df.dtypes)
     cols = [key, *keep]
     schema = ", ".join(f"c{i} {types[c]}" for i, c in enumerate(cols)) + ", score double, kind string, n_windows int"
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(shared.value, rare)
+        scorer = Scorer(shared.value)
         for pdf in batches:
             best, kinds, n = [], [], []
             for t in pdf["t"]:

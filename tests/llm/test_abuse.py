@@ -55,3 +55,12 @@ def test_frame(spark):
     assert len(got) == len(texts)
     assert {k for k, r in got.items() if r.n_windows} == {0, 1, 2, 5, 7} and got[3].score == got[4].score == 0.0
     assert abuse.score(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_usual_misspellings_are_met_however_often_they_come(spark):
+    """Copies count once, and a form is ordinary only where it is far more frequent than the term it resembles."""
+    texts = ["You are a worthless idoit and a basterd."] * 40  # one hot text
+    texts += [f"Room {i}: you moran, you pathetic weasal." for i in range(30)] + [f"Room {i}: you moron, you pathetic weasel." for i in range(10)]
+    texts += [f"Page {i} of the wordlist: your lazy words, your stupid words." for i in range(60)] + ["The worms."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    assert {r.doc_id for r in abuse.score(df, "doc_id", "text").where("n_windows > 0").collect()} == set(range(80))
