@@ -3,13 +3,18 @@
 A lexicon in four languages lies in a trie. Each distinct word of the corpus is undressed
 (look-alike letters, digits for letters, separators, repeated letters, invisible marks) and
 run through the trie together with a Levenshtein automaton, so misspelled and disguised
-terms are met as well; ordinary words of the corpus are only met exactly. Terms and phrases
-that lie close together form one window, whose weights add up; words around the window that
-address or single out somebody add to it, words of quotation, teaching and rules take away.
+terms are met as well, however often they come. Words of a fixed dictionary (the whole words
+of public tokenizers' vocabularies, and their inflected forms) are no misspellings and are
+only met exactly; no count of the corpus decides. Terms and phrases that lie close together
+form one window, whose weights add up; words around the window that address or single out
+somebody add to it, words of quotation, teaching and rules take away.
 """
 
 from __future__ import annotations
 
+import base64
+import json
+import os
 import re
 import unicodedata
 from collections import Counter
@@ -19,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+TOKENIZERS = os.environ.get("STRATA_TOKENIZERS", "/opt/tokenizers")
 
 # Terms by kind and weight; plurals in -s and -es are added.
 TERMS = {
@@ -83,9 +88,9 @@ DISTANT = set(
     """says said policy policies rule rules handbook calling called calls word words novel villain character chapter book story script line scene
     drama play fable counselor explained explains explain report reports reported reporting lesson lessons unit units covers taught teach teaches
     teaching assembly pledges studied study propaganda history speech review reviews reviewed poster warns warning filter blocked wrongly biology
-    health puberty consent lab microscope therapist licensing career panel volunteers picked sprayed farm names photo landscape crosswise quote
+    health puberty consent lab therapist licensing career farm names photo quote
     quoted quotes discuss discussed discusses readers mentions mention term terms respect bullying prevention online comments content disagree
-    strongly furious unfair geese chorus donkey trotted act concert dice dijo norma clase cuento novela informe profesor dit règle roman cours
+    strongly furious unfair act dice dijo norma clase cuento novela informe profesor dit règle roman cours
     sagt regel roman unterricht erklärt""".split()
 )
 # Look-alike letters and digits that stand for letters.
@@ -96,7 +101,8 @@ _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){3,}[^\W\d_](?![^\W_])")
 _EDGE = ".,;:!?\"'“”‘’()[]{}<>«»¿¡…—–-#&/"
 _MASK = re.compile(r"^([^\W\d_])(\*{2,})([^\W\d_])$")
 _RUN = re.compile(r"(.)\1{2,}")
-REACH, AROUND, THRESHOLD, RARE, FAR = 12, 12, 3.0, 5, 4
+REACH, AROUND, THRESHOLD, SHORTEST = 12, 12, 3.0, 5
+_ENDINGS = ("s", "es", "ed", "d", "ing", "er", "ers", "ly", "n", "en", "e", "te", "ten", "ez", "ent")
 
 
 class Trie:
@@ -111,10 +117,10 @@ class Trie:
             node[""] = word
 
     def near(self, word: str, most: int) -> str | None:
-        """The nearest entry within ``most`` edits, exchanges of neighbours included; first letters must agree."""
+        """The nearest entry within ``most`` edits, exchanges of neighbours included."""
         best: tuple[int, str] | None = None
-        first = tuple(min(i, most + 1) for i in range(len(word) + 1))
-        stack = [(self.root.get(word[0], {}), word[0], first, None, word[0])] if word and word[0] in self.root else []
+        first = tuple(range(len(word) + 1))
+        stack = [(child, k, first, None, k) for k, child in self.root.items() if k]
         while stack:
             node, c, above, above2, path = stack.pop()
             row = [above[0] + 1]
@@ -125,11 +131,38 @@ class Trie:
                 row.append(d)
             if "" in node and row[-1] <= most and (best is None or (row[-1], node[""]) < best):
                 best = (row[-1], node[""])
-            if min(row) <= most:
+            if min(row) <= most or min(above) < most:  # an exchange of neighbours looks two rows back
                 stack += [(child, k, tuple(row), above, path + k) for k, child in node.items() if k]
         return best[1] if best else None
 
 
+_DICTIONARIES: dict[str, frozenset[str]] = {}
+
+
+def dictionary(folder: str = TOKENIZERS) -> frozenset[str]:
+    """Lowered words that public tokenizers have whole: ordinary words of many languages, the same for every corpus.
+
+    Reads ``*.tiktoken`` and ``word_bpe*.json`` of the folder; a folder without either raises an error.
+    """
+    got = _DICTIONARIES.get(folder)
+    if got is None:
+        names = sorted(os.listdir(folder))
+        found: set[str] = set()
+        for name in names:
+            path = os.path.join(folder, name)
+            if name.endswith(".tiktoken"):
+                with open(path, "rb") as f:
+                    pieces = [base64.b64decode(x.split()[0]) for x in f]
+                found |= {p[1:].decode("utf-8", "ignore").lower() for p in pieces if p[:1] == b" "}
+            elif name.startswith("word_bpe") and name.endswith(".json"):
+                with open(path, encoding="utf-8") as f:
+                    found |= {w[:-4] for w in json.load(f)["model"]["vocab"] if w.endswith("</w>")}
+        if not found:
+            raise FileNotFoundError(f"no tokenizer vocabulary in {folder}")
+        _DICTIONARIES[folder] = got = frozenset(w for w in found if len(w) >= 3 and w.isalpha())
+    return got
+
+
 def _entries() -> dict[str, tuple[str, float]]:
     out: dict[str, tuple[str, float]] = {}
     for (kind, weight), text in TERMS.items():
@@ -139,38 +172,47 @@ def _entries() -> dict[str, tuple[str, float]]:
     return out
 
 
+def _stem(form: str, entries: dict) -> str:
+    """A plural's own term."""
+    return next((x for x in (form.removesuffix("es"), form.removesuffix("s")) if x != form and x in entries), form)
+
+
 class Lexicon:
     """Word -> term, by undressing and by the trie; phrases by their first word."""
 
-    def __init__(self, counts: dict[str, int] | None = None):
+    def __init__(self, ordinary: frozenset[str] = frozenset()):
         self.entries = _entries()
-        self.trie = Trie(self.entries)
-        self.counts = counts or {}
+        # short terms have too many neighbours: they are met exactly or disguised, not misspelled
+        self.trie = Trie({form: e for form, e in self.entries.items() if len(_stem(form, self.entries)) >= SHORTEST})
+        self.ordinary_words = ordinary
         self.plain = {_fold(w): w for w in self.entries}
-        self.phrases: dict[str, list[tuple[tuple[str, ...], str, float]]] = {}
+        self.phrases: dict[str, dict[str, list[tuple[tuple[str, ...], str, float]]]] = {}  # by first and second word
         for (kind, weight), text in PHRASES.items():
             for p in text.replace("\n", " ").split("|"):
                 words = tuple(_fold(w) for w in p.split())
-                self.phrases.setdefault(words[0], []).append((words, kind, weight))
+                self.phrases.setdefault(words[0], {}).setdefault(words[1] if len(words) > 1 else "*", []).append((words, kind, weight))
         self.masks: dict[tuple[str, int, str], str] = {}
         for w in sorted(self.entries, key=lambda w: -self.entries[w][1]):
             self.masks.setdefault((w[0], len(w), w[-1]), w)
-        self.cells = _Words(self)
-
-    def ordinary(self, form: str, term: str) -> bool:
-        """Whether a form is a word of its own: in more than RARE texts, and far more than the term it resembles, plurals included."""
-        have = self.counts.get(form, 0)
-        if have <= RARE:
-            return False
-        stems = {x for w in (term, _fold(term)) for x in (w, w.removesuffix("es"), w.removesuffix("s")) if x in self.entries or x in self.plain}
-        return have > FAR * sum(self.counts.get(w, 0) for w in {x + end for x in stems for end in ("", "s", "es")})
+        self.cells, self.shown = _Words(self), _Shown()
+        self.stems = {w: _stem(w, self.entries) for w in self.entries}
+
+    def ordinary(self, form: str) -> bool:
+        """Whether a form is a word of its own: in the dictionary, as it stands or without an ending."""
+        words = self.ordinary_words
+        if form in words:
+            return True
+        for end in _ENDINGS:
+            stem = form.removesuffix(end)
+            if stem != form and len(stem) >= 3 and (stem in words or len(stem) > 3 and stem[-1] == stem[-2] and stem[:-1] in words):
+                return stem not in self.plain
+        return False
 
     def near(self, bare: str) -> str | None:
         """The term that a word without disguise is misspelled from, or None."""
-        if not (5 <= len(bare) <= 24 and bare.isalpha()):
+        if not (SHORTEST <= len(bare) <= 24 and bare.isalpha()):
             return None
-        term = self.trie.near(bare, 1 if len(bare) < 9 else 2)
-        return term if term is not None and len(term) >= 5 else None
+        return self.trie.near(bare, 1 if len(bare) < 9 else 2)
 
     def look_up(self, raw: str) -> tuple[str, str | None, bool]:
         """(word as it was meant, lexicon term or None, may start a phrase)."""
@@ -193,10 +235,8 @@ class Lexicon:
         bare = shown if not _RUN.search(shown) else _RUN.sub(r"\1", shown)
         if bare in self.phrases or not bare:
             return bare, None, bool(bare)
-        term = self.near(bare)
-        if term is not None and not self.ordinary(low, term) and not self.ordinary(bare, term):
-            return _fold(term), term, True
-        return bare, None, False
+        term = None if self.ordinary(low) or self.ordinary(bare) else self.near(bare)
+        return (_fold(term), term, True) if term is not None else (bare, None, False)
 
 
 class _Words(dict):
@@ -213,6 +253,16 @@ class _Words(dict):
         return got
 
 
+class _Shown(dict):
+    """Blank-separated word -> as phrases are compared with it."""
+
+    def __missing__(self, raw: str) -> str:
+        if len(self) > 300_000:
+            self.clear()
+        self[raw] = got = _fold(raw.strip(_EDGE)).replace("'", " ").split(" ")[-1].replace("-", "")
+        return got
+
+
 def _fold(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c)).replace("ß", "ss")
 
@@ -243,8 +293,8 @@ def _phrase_end(words: list[str], at: int, phrase: tuple[str, ...]) -> int:
 
 
 class Scorer:
-    def __init__(self, counts: dict[str, int] | None = None):
-        self.lexicon = Lexicon(counts)
+    def __init__(self, ordinary: frozenset[str] = frozenset()):
+        self.lexicon = Lexicon(ordinary)
 
     def windows(self, text: str | None) -> list[tuple[float, str, int, int]]:
         """(score, kind, first word, past word) of each window of terms."""
@@ -259,25 +309,25 @@ class Scorer:
         if not spots:
             return []
         hits: list[tuple[int, int, str, float, str]] = []
-        shown: dict[int, str] = {}
+        shown, phrases, n = self.lexicon.shown, self.lexicon.phrases, len(raws)
 
         def word(i: int) -> str:
-            if i not in shown:
-                g = got[i]
-                shown[i] = g[0] if g else _fold(raws[i].strip(_EDGE)).replace("'", " ").split(" ")[-1].replace("-", "")
-            return shown[i]
+            g = got[i]
+            return g[0] if g else shown[raws[i]]
 
         for i in spots:
             w, term, starts = got[i]
             if term is not None:
                 kind, weight = self.lexicon.entries[term]
-                hits.append((i, i + 1, kind, weight, term))
-            if starts and w in self.lexicon.phrases:
-                near = [word(k) for k in range(i, min(i + 14, len(raws)))]
-                for phrase, kind, weight in self.lexicon.phrases[w]:
-                    end = _phrase_end(near, 0, phrase)
-                    if end:
-                        hits.append((i, i + end, kind, weight, " ".join(phrase)))
+                hits.append((i, i + 1, kind, weight, self.lexicon.stems[term]))
+            if starts and (by_next := phrases.get(w)) is not None:
+                may = [*by_next.get(word(i + 1), ()), *by_next.get("*", ())] if i + 1 < n else by_next.get("*", ())
+                if may:
+                    near = [word(k) for k in range(i, min(i + 14, n))]
+                    for phrase, kind, weight in may:
+                        end = _phrase_end(near, 0, phrase)
+                        if end:
+                            hits.append((i, i + end, kind, weight, " ".join(phrase)))
         out = []
         hits.sort()
         k = 0
@@ -319,38 +369,14 @@ def _sentence(raws: list[str], first: int, past: int) -> tuple[int, int]:
     return a, b
 
 
-def _corpus_counts(df: DataFrame, text: str) -> dict[str, int]:
-    """In how many distinct texts each term occurs, and each word in more than RARE that resembles a term; counts are exact."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        for pdf in batches:
-            for t in pdf["t"]:
-                seen.update({w.strip(_EDGE) for w in set(t.lower().split())})
-            if len(seen) > 300_000:
-                yield pd.DataFrame(list(seen.items()), columns=["w", "n"])
-                seen.clear()
-        yield pd.DataFrame(list(seen.items()), columns=["w", "n"])
-
-    def resembling(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon()
-        for pdf in batches:
-            yield pdf[[w in lexicon.entries or w in lexicon.plain or n > RARE and lexicon.look_up(w)[1] is not None for w, n in zip(pdf["w"], pdf["n"])]]
-
-    # copies count once
-    words = df.select(F.col(text).alias("t")).where("t is not null").distinct().mapInPandas(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    names = Lexicon()
-    words = words.where((F.col("n") > RARE) | F.col("w").isin(sorted({*names.entries, *names.plain})))
-    return {r["w"]: r["n"] for r in written(words.mapInPandas(resembling, "w string, n bigint"), "p9-words").toLocalIterator()}
-
-
-def score(df: DataFrame, key: str, text: str, keep: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
+def score(df: DataFrame, key: str, text: str, keep: tuple[str, ...] = (), threshold: float = THRESHOLD, tokenizers: str = TOKENIZERS) -> DataFrame:
     """``key``, ``keep``, score (of the worst window, 0 where there is none), kind, windows at or over the threshold.
 
     Every row comes out: null and empty texts with score 0. Texts are scored whole; copies
-    score alike; extra columns are ignored unless kept.
+    score alike; extra columns are ignored unless kept. ``tokenizers`` is the folder whose
+    vocabularies tell ordinary words, read on the driver; no pass over the corpus is needed.
     """
-    shared = df.sparkSession.sparkContext.broadcast(_corpus_counts(df, text))  # words a few edits from a term
+    shared = df.sparkSession.sparkContext.broadcast(dictionary(tokenizers))  # as large as the vocabularies, whatever the corpus
     types = dict(df.dtypes)
     cols = [key, *keep]
     schema = ", ".join(f"c{i} {types[c]}" for i, c in enumerate(cols)) + ", score double, kind string, n_windows int"

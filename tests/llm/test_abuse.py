@@ -18,14 +18,17 @@ GOOD = [
 ]
 
 
+SCORER = abuse.Scorer(abuse.dictionary())
+
+
 @pytest.mark.parametrize("text", BAD)
 def test_bad(text):
-    assert max((w[0] for w in abuse.Scorer().windows(text)), default=0) >= abuse.THRESHOLD
+    assert max((w[0] for w in SCORER.windows(text)), default=0) >= abuse.THRESHOLD
 
 
 @pytest.mark.parametrize("text", GOOD)
 def test_good(text):
-    assert max((w[0] for w in abuse.Scorer().windows(text)), default=0) < abuse.THRESHOLD
+    assert max((w[0] for w in SCORER.windows(text)), default=0) < abuse.THRESHOLD
 
 
 def distance(a, b):
@@ -44,7 +47,7 @@ def test_trie_equals_brute_force():
     trie = abuse.Trie(words)
     for _ in range(300):
         w = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 8)))
-        best = min(((distance(w, x), x) for x in words if x[0] == w[0]), default=(9, None))
+        best = min(((distance(w, x), x) for x in words), default=(9, None))
         assert trie.near(w, 2) == (best[1] if best[0] <= 2 else None)
 
 
@@ -57,10 +60,15 @@ def test_frame(spark):
     assert abuse.score(df.limit(0), "doc_id", "text").count() == 0
 
 
-def test_usual_misspellings_are_met_however_often_they_come(spark):
-    """Copies count once, and a form is ordinary only where it is far more frequent than the term it resembles."""
-    texts = ["You are a worthless idoit and a basterd."] * 40  # one hot text
-    texts += [f"Room {i}: you moran, you pathetic weasal." for i in range(30)] + [f"Room {i}: you moron, you pathetic weasel." for i in range(10)]
-    texts += [f"Page {i} of the wordlist: your lazy words, your stupid words." for i in range(60)] + ["The worms."]
+@pytest.mark.parametrize("times", [5, 20, 2000])
+def test_misspellings_are_met_however_often_they_come(spark, times):
+    """No count decides, neither of copies nor of different texts; ordinary words stay ordinary."""
+    texts = ["You are an idoit and a mroon."] * times + [f"Room {i}: you wdiot, you qastard." for i in range(times)] + ["You are a worthless basterd."]
+    texts += [f"Page {i} of the wordlist: where your words and worms trotted, les fiches." for i in range(times)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
-    assert {r.doc_id for r in abuse.score(df, "doc_id", "text").where("n_windows > 0").collect()} == set(range(80))
+    assert {r.doc_id for r in abuse.score(df, "doc_id", "text").where("n_windows > 0").collect()} == set(range(2 * times + 1))
+
+
+def test_a_folder_without_vocabulary_is_an_error(tmp_path):
+    with pytest.raises(FileNotFoundError):
+        abuse.dictionary(str(tmp_path))
