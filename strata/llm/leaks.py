@@ -2,9 +2,10 @@
 
 The items' passages, without directions and options, form a generalised suffix automaton
 over words. A document's words are streamed through it once, tracking the longest match
-that ends at each word; matches of ``seed`` words or more are laid on the item's diagonal
-and carried on over a few exchanged words. A document leaks an item when one or two such
-runs cover at least ``coverage`` of the passage.
+that ends at each word; where an item's own match of ``SEED`` words or more ends, it is laid
+on the item's diagonal and carried on over a few exchanged words. Passages that agree in
+``EXACT`` of their words have such a match somewhere, for at most every fifth word differs.
+A document leaks an item when its runs together cover at least ``coverage`` of the passage.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
 _OPTION = re.compile(r"^\s*\(?[A-Ea-e][.):]\s")
-SEED, COVERAGE, EXACT, BLOCK_WORDS = 5, 0.5, 0.8, 400_000
+SEED, COVERAGE, EXACT, BLOCK_WORDS = 4, 0.5, 0.8, 400_000
 
 
 def words(text: str | None) -> list[str]:
@@ -51,6 +52,7 @@ class Automaton:
     def __init__(self, items: list[list[str]]):
         self.ids = {w: i for i, w in enumerate(dict.fromkeys(w for t in items for w in t))}
         self.items = [[self.ids[w] for w in t] for t in items]
+        self.padded = [[-3] * _PAD + t + [-3] * _PAD for t in self.items]
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.ends: list[list[tuple[int, int]]] = [[]]
@@ -64,6 +66,12 @@ class Automaton:
             if up > 0 and self.length[up] >= SEED:
                 self.ends[up] += self.ends[v]
         self.ends = [sorted(set(e)) for e in self.ends]
+        # the shortest suffix of SEED words or more has all places at which a match of that length may end
+        self.top = list(range(len(self.next)))
+        for v in sorted(range(1, len(self.next)), key=lambda v: self.length[v]):
+            if self.link[v] > 0 and self.length[self.link[v]] >= SEED:
+                self.top[v] = self.top[self.link[v]]
+        self.after: dict[int, dict[int, list[tuple[int, int]]]] = {}
 
     def _new(self, length: int, moves: dict[int, int], link: int) -> int:
         self.next.append(moves)
@@ -94,19 +102,29 @@ class Automaton:
             self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
         return cur
 
-    def seeds(self, doc: list[int], least: int = SEED) -> Iterator[tuple[int, int, int]]:
-        """(state, length, end in the document) of every match that can't be carried on, of ``least`` words or more."""
-        v, n, nxt, link, length = 0, 0, self.next, self.link, self.length
+    def _after(self, v: int) -> dict[int, list[tuple[int, int]]]:
+        """The places of a match by the word that follows in the item, -2 at the item's end."""
+        got = self.after.get(v)
+        if got is None:
+            got = self.after[v] = {}
+            for i, at in self.ends[v]:
+                got.setdefault(self.items[i][at + 1] if at + 1 < len(self.items[i]) else -2, []).append((i, at))
+        return got
+
+    def seeds(self, doc: list[int]) -> Iterator[tuple[int, int, int]]:
+        """(item, its last word, end in the document) wherever an item's match of SEED words or more ends, though another item's goes on."""
+        v, n, nxt, link, length, top = 0, 0, self.next, self.link, self.length, self.top
         for j, c in enumerate(doc):
+            if n >= SEED:
+                for follows, places in self._after(top[v]).items():
+                    if follows != c:
+                        for i, at in places:
+                            yield i, at, j
             if c < 0:
-                if n >= least:
-                    yield v, n, j
                 v = n = 0
                 continue
             to = nxt[v].get(c)
             if to is None:
-                if n >= least:
-                    yield v, n, j
                 while v and c not in nxt[v]:
                     v = link[v]
                     n = length[v]
@@ -115,58 +133,74 @@ class Automaton:
                     n = 0
                     continue
             v, n = to, n + 1
-        if n >= least:
-            yield v, n, len(doc)
+        if n >= SEED:
+            for places in self._after(top[v]).values():
+                for i, at in places:
+                    yield i, at, len(doc)
 
     def leaks(self, doc_words: list[str]) -> dict[int, tuple[float, list[tuple[int, int]]]]:
-        """Item number -> (share of the passage covered by its best two runs, their spans of document words)."""
+        """Item number -> (share of the passage that its runs cover together, their spans of document words)."""
         doc = list(map(self.ids.get, doc_words, [-1] * len(doc_words)))
         runs: dict[int, list[tuple[int, int, int, int]]] = {}
-        for v, n, end in self.seeds(doc):
-            for item, at in self.ends[v]:
-                have = runs.setdefault(item, [])
-                t0, d0 = at + 1 - n, end - n
-                if any(a <= t0 and at < b and abs((c - a) - (d0 - t0)) <= 8 and c <= d0 < d for a, b, c, d in have):
-                    continue  # within a run that was found already
-                have.append(_carry(self.items[item], doc, t0, at + 1, d0, end))
+        active: dict[int, list[tuple[int, int, int, int]]] = {}  # the runs that go on past the place reached
+        padded: list[int] = []
+        for item, at, end in self.seeds(doc):
+            t0, d0 = at + 1 - SEED, end - SEED
+            live = active[item] = [r for r in active.get(item, ()) if r[3] > d0]
+            if any(a <= t0 and at < b and abs((c - a) - (d0 - t0)) <= 8 and c <= d0 for a, b, c, _ in live):
+                continue  # within a run that was found already
+            padded = padded or [-4] * _PAD + doc + [-4] * _PAD
+            run = _carry(self.padded[item], padded, t0, at + 1, d0, end)
+            live.append(run)
+            runs.setdefault(item, []).append(run)
         out = {}
         for item, found in runs.items():
-            whole = [r for r in _joined(found) if _alike(self.items[item][r[0] : r[1]], doc[r[2] : r[3]])]
+            # runs as short as a seed are common phrases
+            whole = [r for r in _joined(found) if r[1] - r[0] > SEED and _alike(self.items[item][r[0] : r[1]], doc[r[2] : r[3]])]
             if whole:
-                out[item] = _best_two(whole, len(self.items[item]))
+                out[item] = _covered(whole) / max(len(self.items[item]), 1), sorted({(c, d) for _, _, c, d in whole})
         return out
 
 
-def _reach(t: list[int], d: list[int], i: int, j: int, step: int) -> tuple[int, int]:
-    """How far a run goes on from (i, j) over exchanged, added or dropped words: the last place where it still matched."""
+_PAD = 3
+
+
+def _reach(t: list[int], d: list[int], i: int, j: int, s: int) -> tuple[int, int]:
+    """How far a run goes on from (i, j) over exchanged, added or dropped words: past the last place where it still matched.
+
+    Both lists are padded by _PAD words that equal nothing, so looking ahead needs no bounds.
+    """
     best_i, best_j, score, best = i, j, 0.0, 0.0
-    n, m = len(t), len(d)
-    while 0 <= i < n and 0 <= j < m and score > best - 4.0:
+    n, m = len(t) - _PAD, len(d) - _PAD
+    while _PAD <= i < n and _PAD <= j < m:
         if t[i] == d[j]:
             score += 1.0
-            i, j = i + step, j + step
+            i, j = i + s, j + s
             if score >= best:
                 best, best_i, best_j = score, i, j
             continue
         score -= 1.3
-        ahead = lambda a, b: all(0 <= a + k * step < n and 0 <= b + k * step < m and t[a + k * step] == d[b + k * step] for k in range(2))
-        if ahead(i + step, j + step):
-            i, j = i + step, j + step
-        elif ahead(i, j + step):
-            j += step
-        elif ahead(i + step, j):
-            i += step
-        elif ahead(i, j + 2 * step):
-            j += 2 * step
+        if score <= best - 4.0:
+            break
+        a, b, c, e = t[i + s], d[j + s], t[i + 2 * s], d[j + 2 * s]
+        if a == b and c == e:
+            i, j = i + s, j + s
+        elif t[i] == b and a == e:
+            j += s
+        elif a == d[j] and c == b:
+            i += s
+        elif t[i] == e and a == d[j + 3 * s]:
+            j += 2 * s
         else:
-            i, j = i + step, j + step
+            i, j = i + s, j + s
     return best_i, best_j
 
 
 def _carry(t: list[int], d: list[int], t0: int, t1: int, d0: int, d1: int) -> tuple[int, int, int, int]:
-    right_t, right_d = _reach(t, d, t1, d1, 1)
-    left_t, left_d = _reach(t, d, t0 - 1, d0 - 1, -1)
-    return left_t + 1, right_t, left_d + 1, right_d
+    """(first and past word in the item, in the document) of the run that a match belongs to; ``t`` and ``d`` are padded."""
+    right_t, right_d = _reach(t, d, t1 + _PAD, d1 + _PAD, 1)
+    left_t, left_d = _reach(t, d, t0 - 1 + _PAD, d0 - 1 + _PAD, -1)
+    return left_t + 1 - _PAD, right_t - _PAD, left_d + 1 - _PAD, right_d - _PAD
 
 
 def _alike(t: list[int], d: list[int]) -> bool:
@@ -187,17 +221,13 @@ def _joined(runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
     return out
 
 
-def _best_two(runs: list[tuple[int, int, int, int]], n: int) -> tuple[float, list[tuple[int, int]]]:
-    best = (0, [])
-    # the longest runs suffice: a run within another adds nothing
-    for i, (a, b, c, d) in enumerate(runs):
-        if b - a > best[0]:
-            best = (b - a, [(c, d)])
-        for p, q, r, s in runs[i + 1 :]:
-            got = (b - a) + (q - p) - max(0, min(b, q) - max(a, p))
-            if got > best[0]:
-                best = (got, sorted([(c, d), (r, s)]))
-    return best[0] / max(n, 1), best[1]
+def _covered(runs: list[tuple[int, int, int, int]]) -> int:
+    """How many words of the item the runs cover together."""
+    total = last = 0
+    for a, b, _, _ in sorted(runs):
+        total += max(0, b - max(a, last))
+        last = max(last, b)
+    return total
 
 
 _BUILT: dict[int, tuple[list, Automaton]] = {}
@@ -215,7 +245,7 @@ def _automaton(items: list[list[str]]) -> Automaton:
 def find_leaks(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, item_text: str, coverage: float = COVERAGE) -> DataFrame:
     """(item, document, share, spans) of every document that contains at least ``coverage`` of an item's passage.
 
-    Spans are of document words. The items are the stated query set; they are worked in
+    Spans are of document words, all runs of the item with more than SEED words. The items are the stated query set; they are worked in
     blocks of at most BLOCK_WORDS words, one automaton each, so what a worker holds is
     bounded. Null and empty documents or items leak nothing; every copy of a document and
     every item with the same passage is reported; documents are read whole.

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from strata.llm import leaks
 
 ITEMS = [
@@ -9,38 +11,49 @@ ITEMS = [
 ]
 
 
-def longest(doc, item):
-    best = 0
-    for i in range(len(doc)):
-        for j in range(len(item)):
-            n = 0
-            while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n]:
-                n += 1
-            best = max(best, n)
-    return best
-
-
 def test_stems_drop_directions_and_options():
     s = leaks.stems(ITEMS)
     assert s[0][:2] == ["the", "mapmaker"] and s[0][-1] == "that" and s[2][-1] == "oriel"
 
 
-def test_longest_matches_equal_brute_force():
+def test_matches_equal_brute_force():
+    """Every place where an item's match of SEED words or more can't go on, of each item by itself."""
     rng = random.Random(3)
-    for _ in range(60):
-        items = [[rng.choice("abc") for _ in range(rng.randrange(1, 14))] for _ in range(3)]
-        doc = [rng.choice("abcd") for _ in range(40)]
+    for _ in range(80):
+        items = [[rng.choice("ab") for _ in range(rng.randrange(1, 14))] for _ in range(3)]
+        doc = [rng.choice("aabbc") for _ in range(40)]
         a = leaks.Automaton(items)
-        ids = [a.ids.get(w, -1) for w in doc]
-        got = max((n for _, n, _ in a.seeds(ids, 1)), default=0)
-        assert got == max(longest(doc, t) for t in items)
-
-
-def test_ends_are_all_occurrences():
-    items = [list("abcabcabcd"), list("xabcab")]
-    a = leaks.Automaton(items)
-    for v, n, end in a.seeds([a.ids[c] for c in "abcab"], 5):
-        assert set(a.ends[v]) == {(0, 4), (0, 7), (1, 5)}
+        got = sorted(set(a.seeds([a.ids.get(w, -1) for w in doc])))
+        want = sorted(
+            (i, k, j)
+            for i, t in enumerate(items)
+            for k in range(leaks.SEED - 1, len(t))
+            for j in range(leaks.SEED, len(doc) + 1)
+            if t[k + 1 - leaks.SEED : k + 1] == doc[j - leaks.SEED : j] and (k + 1 == len(t) or j == len(doc) or t[k + 1] != doc[j])
+        )
+        assert got == want
+
+
+def test_inner_matches_of_other_items_are_met():
+    """An item that shares the inner part of another's passage is met where the document holds the other whole."""
+    words = [f"w{i}" for i in range(40)]
+    a = leaks.Automaton([words, ["x", "y", *words[8:30], "z"]])
+    assert {i for i, (share, _) in a.leaks(["q", *words, "q"]).items() if share >= 0.5} == {0, 1}
+
+
+@pytest.mark.parametrize("pieces", [1, 2, 3, 6])
+def test_pieces_count_together(pieces):
+    words, other = [f"w{i}" for i in range(60)], [f"o{i}" for i in range(12)]
+    n = 60 // pieces
+    doc = [w for k in range(pieces) for w in [*other, *words[k * n : (k + 1) * n]]]
+    share, spans = leaks.Automaton([words]).leaks(doc)[0]
+    assert share == 1.0 and len(spans) == pieces and sum(b - a for a, b in spans) == 60
+
+
+def test_every_fifth_word_exchanged():
+    words = [f"w{i}" for i in range(60)]
+    doc = [f"o{i}" if i % 5 == 4 else w for i, w in enumerate(words)]
+    assert leaks.Automaton([words]).leaks(doc)[0][0] >= 0.9
 
 
 def test_leaks():
