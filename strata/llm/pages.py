@@ -6,6 +6,9 @@ corpus has at page edges only. Lines are then joined: a word broken at a line's
 closed when the corpus knows the closed word rather than the compound. Characters are
 taken for misread where a rare word is one confusion away from a word that is far more
 frequent, or where signs stand inside words.
+
+Frequent words go to every worker; the rarer ones that a block of pages may ask for come to
+it by a join, so what counts as known is the same whatever the corpus holds.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-EDGE_LINES, BLOCK_PAGES = 4, 64
-WORD_SHARE, LINE_SHARE = 1e-4, 1e-3
+EDGE_LINES, BLOCK_PAGES, OVERLAP = 4, 64, 8
+KNOWN, MEANT, WORD_SHARE, LINE_SHARE = 3, 20, 1e-4, 1e-3  # a word counts as known from KNOWN occurrences on
 _HYPHEN = re.compile(r"([^\W\d_][\w'’@^~|]*)([-‐‑­¬])\s*$")
 _MARKS = "-‐‑­¬"
 LINE_MOST, WORD_MOST = 300, 40
@@ -66,6 +69,7 @@ _NUMBER_LINE = re.compile(
 )
 _NUMBER_TAIL = re.compile(r"(?:\s{2,}|\s[|·•–—-]\s|\t|\|)\s*[\[(~–—-]*\s*(?:p\.\s*|page\s+)?([0-9OolI|SZB]{1,4}|[ivxlc]{1,7})(?:\s+of\s+\d{1,4})?\s*[\])~–—.-]*\s*$", re.I)
 _NUMBER_HEAD = re.compile(r"^\s*[\[(~–—-]*\s*(?:p\.\s*|page\s+)?([0-9OolI|SZB]{1,4})\s*[\])~–—.-]*(?:\s{2,}|\s[|·•–—-]\s|\t|\|)", re.I)
+_NUMBER_CHARS = set("0123456789ivxlcIVXLC")
 _DIGIT = str.maketrans("OolI|SZB", "00111528")
 
 
@@ -82,6 +86,8 @@ def page_number(line: str) -> tuple[int, str] | None:
     """(number, 'alone' or 'with text') of a line that carries a page number, or None."""
     if len(line) > LINE_MOST:
         return None
+    if not _NUMBER_CHARS.intersection(line):
+        return None
     m = _NUMBER_LINE.match(line)
     if m and (v := _value(m.group(1))) is not None:
         return v, "alone"
@@ -92,10 +98,26 @@ def page_number(line: str) -> tuple[int, str] | None:
     return None
 
 
+_MAY_NUMBER = set("0123456789OolI|SZBivxlcIVXLC])~–—.-")
+_DIGITS = re.compile(r"\d+")
+
+
+_HEAD_NUMBER = set("0123456789OolI|SZBpP[(~–—-")
+
+
+def _bare(line: str) -> str:
+    """A line without the page number it may carry at its start or end."""
+    if line.lstrip()[:1] in _HEAD_NUMBER:
+        line = _NUMBER_HEAD.sub("", line)
+    return _NUMBER_TAIL.sub("", line) if line.rstrip()[-1:] in _MAY_NUMBER else line
+
+
 def skeleton(line: str) -> str:
     """A line with numbers masked, without the page number it may carry, for comparison over all scans."""
-    text = _NUMBER_TAIL.sub("", line.strip()[:LINE_MOST])
-    return re.sub(r"\d+", "#", re.sub(r"\s+", " ", text)).lower()
+    text = line.strip()[:LINE_MOST]
+    if text[-1:] in _MAY_NUMBER:
+        text = _NUMBER_TAIL.sub("", text)
+    return _DIGITS.sub("#", " ".join(text.split())).lower()
 
 
 CAPITALS = "\x00capitals"
@@ -116,27 +138,91 @@ def edges(lines: list[str]) -> tuple[list[int], list[int]]:
     return top, [i for i in full[-EDGE_LINES:] if i not in top]
 
 
-@dataclass
+# Letters, digits and signs that shapes don't tell apart.
+_SHAPE = str.maketrans({**dict.fromkeys("1li!|", "l"), **dict.fromkeys("0o", "o"), **dict.fromkeys("2z", "z"), **dict.fromkeys("3ec€", "e"), **dict.fromkeys("4a@", "a"), **dict.fromkeys("5s$", "s"), **dict.fromkeys("6b8g9q", "b"), **dict.fromkeys("7t", "t")})
+_SIGNS = re.compile(r"[^\w'’.&+#:,;%=\x00-]|_")
+
+
+def _holes(word: str) -> list[str]:
+    """A word with each of its letters left open."""
+    return [word[:i] + "\x00" + word[i + 1 :] for i in range(len(word))]
+
+
+def _swaps(word: str) -> list[str]:
+    """What a word may have been printed as by one confusion of letter groups."""
+    out = []
+    for a, b in _CONFUSED:
+        for x, y in ((a, b), (b, a)):
+            at = word.find(x)
+            while at >= 0:
+                out.append(word[:at] + y + word[at + len(x) :])
+                at = word.find(x, at + 1)
+    return out
+
+
+def _shapes(form: str) -> list[str]:
+    """Keys under which a form with digits or signs meets the words it may be; one sign may stand for any letter or none."""
+    out = []
+    for text in dict.fromkeys((form, form.replace("c1", "d"))):
+        shape = text.translate(_SHAPE)
+        signs = [m.start() for m in _SIGNS.finditer(shape)]
+        if not signs:
+            out.append(shape)
+        for i in signs if len(signs) == 1 else ():
+            out += [shape[:i] + "\x00" + shape[i + 1 :], shape[:i] + shape[i + 1 :]]
+    return ["~" + x for x in out]
+
+
 class Vocabulary:
-    """What the corpus knows: words and compounds with counts, and lines met at page edges only."""
-
-    words: dict[str, int]
-    frames: frozenset[str]
-    floor: int
-
-    def __post_init__(self):
-        self.patterns: dict[str, list[tuple[str, int]]] = defaultdict(list)
-        for w, n in self.words.items():
-            if len(w) >= 3 and n >= 20 * self.floor // 3 and "-" not in w:
-                for i in range(len(w)):
-                    self.patterns[w[:i] + "\x00" + w[i + 1 :]].append((w, n))
+    """What the corpus knows: words and compounds with counts, and lines met at page edges only.
+
+    ``scale`` is how much larger the corpus is than one in which a word must come KNOWN
+    times to reach WORD_SHARE; it only raises the counts from which a form is taken for
+    too frequent to be misread. ``add`` lays the rarer words of one block over the others.
+    """
+
+    def __init__(self, words: dict[str, int], frames: frozenset[str], scale: float = 1.0):
+        self.words, self.frames, self.scale = words, frames, scale
+        self.patterns = self._patterns(words)
+        self.by_length = self._by_length(words)
+        self.frame_tails = {f for f in frames if f.count(" ") >= 1 and len(f) >= 8 and "#" not in f}
+        self.rare: dict[str, int] = {}
+        self.rare_patterns: dict[str, list[tuple[str, int]]] = {}
+        self.rare_by_length: dict[int, list[tuple[int, str]]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
         self.checked: dict[str, str | None] = {}
         self.undone: dict[str, str | None] = {}
-        self.by_length: dict[int, list[tuple[int, str]]] = defaultdict(list)
-        self.frame_tails = {f for f in self.frames if f.count(" ") >= 1 and len(f) >= 8 and "#" not in f}
+        self.judged = _Judged(self)
+
+    @staticmethod
+    def _patterns(words: dict[str, int]) -> dict[str, list[tuple[str, int]]]:
+        out: dict[str, list[tuple[str, int]]] = defaultdict(list)
+        for w, n in words.items():
+            if len(w) >= 3 and n >= MEANT and "-" not in w:
+                for hole in _holes(w):
+                    out[hole].append((w, n))
+        return out
+
+    @staticmethod
+    def _by_length(words: dict[str, int]) -> dict[int, list[tuple[int, str]]]:
+        out: dict[int, list[tuple[int, str]]] = defaultdict(list)
+        for w, n in words.items():
+            if n >= 4 * KNOWN and _LETTERS.fullmatch(w):
+                out[len(w)].append((n, w))
+        for known in out.values():
+            known.sort(reverse=True)
+        return out
+
+    def add(self, rare: dict[str, int]) -> None:
+        """The rarer words that the next block asks for, in place of those before."""
+        if rare != self.rare:
+            self.rare, self.rare_patterns, self.rare_by_length = rare, self._patterns(rare), self._by_length(rare)
+            self._forget()
 
     def count(self, word: str) -> int:
-        return self.words.get(word, 0)
+        return self.words.get(word) or self.rare.get(word, 0)
 
     def meant(self, word: str) -> str | None:
         """The far more frequent word that a rare one was misread from, or None."""
@@ -144,22 +230,17 @@ class Vocabulary:
             return None
         if word in self.checked:
             return self.checked[word]
-        have = max(self.count(word), 1)
-        need = max(12 * self.floor // 3, 25 * have) if have > 1 or word in self.words else max(4 * self.floor, 8)
+        have = self.count(word)
+        need = max(4 * KNOWN, 25 * have)
         best: tuple[int, str] | None = None
-        for i in range(len(word)):
-            for w, n in self.patterns.get(word[:i] + "\x00" + word[i + 1 :], ()):
-                if n >= need and w != word and (best is None or n > best[0]):
+        for hole in _holes(word):
+            for w, n in (*self.patterns.get(hole, ()), *self.rare_patterns.get(hole, ())):
+                if n >= need and w != word and (best is None or (n, w) > best):
                     best = (n, w)
-        for a, b in _CONFUSED:
-            for x, y in ((a, b), (b, a)):
-                at = word.find(x)
-                while at >= 0:
-                    w = word[:at] + y + word[at + len(x) :]
-                    n = self.count(w)
-                    if n >= need and (best is None or n > best[0]):
-                        best = (n, w)
-                    at = word.find(x, at + 1)
+        for w in _swaps(word):
+            n = self.count(w)
+            if n >= need and (best is None or (n, w) > best):
+                best = (n, w)
         if len(self.checked) > 300_000:
             self.checked.clear()
         self.checked[word] = best[1] if best else None
@@ -171,28 +252,37 @@ class Vocabulary:
             return None
         if form in self.undone:
             return self.undone[form]
-        if not self.by_length:
-            for w, n in self.words.items():
-                if n >= 4 * self.floor and _LETTERS.fullmatch(w):
-                    self.by_length[len(w)].append((n, w))
-            for known in self.by_length.values():
-                known.sort(reverse=True)
-        need = max(12 * self.floor // 3, 25 * max(self.count(form), 1))
+        need = max(4 * KNOWN, 25 * max(self.count(form), 1))
         best: tuple[int, str] | None = None
         for text in dict.fromkeys((form, form.replace("c1", "d"))):
             parts = [f"[{_PRINTED[c]}]" if c in _PRINTED else re.escape(c) if c.isalnum() or c in "'’.&+#_:,;%=" else r"[^\W\d_]?" for c in text]
             like = re.compile("".join(parts))
             for size in range(len(text) - sum(x[-1] == "?" for x in parts), len(text) + 1):
-                for n, w in self.by_length.get(size, ()):
-                    if n < need or (best is not None and n <= best[0]):
-                        break  # the most frequent come first
-                    if like.fullmatch(w):
-                        best = (n, w)
-                        break
+                for known in (self.by_length.get(size, ()), self.rare_by_length.get(size, ())):
+                    for n, w in known:
+                        if n < need or (best is not None and n <= best[0]):
+                            break  # the most frequent come first
+                        if like.fullmatch(w):
+                            best = (n, w)
+                            break
         self.undone[form] = best[1] if best else None
         return self.undone[form]
 
 
+class _Judged(dict):
+    """Blank-separated word -> whether it holds a character that was not printed."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, raw: str) -> bool:
+        if len(self) > 300_000:
+            self.clear()
+        self[raw] = got = misread_word(raw, self.vocabulary)
+        return got
+
+
 def misread_word(raw: str, vocabulary: Vocabulary) -> bool:
     """Whether a blank-separated word holds a character that was not printed."""
     if _LIGATURE.search(raw):
@@ -208,9 +298,9 @@ def misread_word(raw: str, vocabulary: Vocabulary) -> bool:
             continue
         low = part.lower()
         if part.isalpha():
-            if re.fullmatch(r"[lIoO]{2,3}", part) and not part.islower() and vocabulary.count(low) < 6 * vocabulary.floor:
+            if re.fullmatch(r"[lIoO]{2,3}", part) and not part.islower() and vocabulary.count(low) < 6 * KNOWN * vocabulary.scale:
                 return True  # digits taken for letters
-            if len(part) >= 3 and vocabulary.count(low) < 400 * vocabulary.floor and vocabulary.meant(low):
+            if len(part) >= 3 and vocabulary.count(low) < 400 * KNOWN * vocabulary.scale and vocabulary.meant(low):
                 return True
             continue
         bare = re.sub(r"[.'’]", "", part)
@@ -218,7 +308,7 @@ def misread_word(raw: str, vocabulary: Vocabulary) -> bool:
             continue
         if not any(c.isalpha() for c in bare) and not re.search(r"[\^~|@]", bare):
             continue
-        if vocabulary.count(low) >= 6 * vocabulary.floor and not vocabulary.printed(low):
+        if vocabulary.count(low) >= 6 * KNOWN * vocabulary.scale and not vocabulary.printed(low):
             continue  # codes and marks that the corpus uses, unless a far more frequent word looks like them
         return True
     return False
@@ -262,7 +352,7 @@ def furniture(pages: list[tuple[int | None, list[str]]], vocabulary: Vocabulary)
         for is_top, rows in ((True, top), (False, bottom[::-1])):
             for rank, i in enumerate(rows):
                 line = lines[i]
-                spots.append((p, i, is_top, rank, fold(_NUMBER_TAIL.sub("", _NUMBER_HEAD.sub("", line)) or line) if len(line) <= LINE_MOST else "\x00"))
+                spots.append((p, i, is_top, rank, fold(_bare(line) or line) if len(line) <= LINE_MOST else "\x00"))
                 if rank < 3 and (n := page_number(line)):
                     numbers.append((p, i, n[0], n[1], rank))
     out: list[set[int]] = [set() for _ in pages]
@@ -363,7 +453,7 @@ def broken(line: str, following: str | None, vocabulary: Vocabulary) -> bool:
         n = _FIRST_WORD.match(following)
         right = n.group(1).lower().strip("'’") if n else None
     if not right:
-        return vocabulary.count(left) < 3 * vocabulary.floor
+        return vocabulary.count(left) < 3 * KNOWN
     head, tail = right.split("-")[0], right
     closed, compound = vocabulary.count(left + head), vocabulary.count(left + "-" + tail)
     if "-" in tail:
@@ -374,7 +464,7 @@ def broken(line: str, following: str | None, vocabulary: Vocabulary) -> bool:
     if vocabulary.meant(left + head):
         return True
     a, b = vocabulary.count(left), vocabulary.count(head)
-    return not (a >= 8 * vocabulary.floor and b >= 8 * vocabulary.floor)
+    return not (a >= 8 * KNOWN and b >= 8 * KNOWN)
 
 
 def findings(pages: list[tuple[int, int | None, str | None]], vocabulary: Vocabulary) -> list[tuple[int, int, str]]:
@@ -401,7 +491,7 @@ def findings(pages: list[tuple[int, int | None, str | None]], vocabulary: Vocabu
             words = line.split()
             first, last = words[0], words[-1]
             inner = words[1 if carried else 0 : len(words) - 1 if ends_broken else len(words)]
-            bad = any(misread_word(w, vocabulary) for w in inner)
+            bad = any(map(vocabulary.judged.__getitem__, inner))
             if not bad and ends_broken:
                 bad = _broken_misread(last, following, vocabulary, left=True)
             if not bad and carried:
@@ -456,84 +546,220 @@ def _last_before(split, frames, p: int) -> str | None:
     return None
 
 
-def vocabulary_of(df: DataFrame, page: str, scan: str, text: str) -> Vocabulary:
+class _Parts(dict):
+    """Blank-separated word -> the words and parts of words it counts for."""
+
+    def __missing__(self, raw: str) -> tuple[str, ...]:
+        w = re.sub(r"['’]s$", "", raw.strip(_EDGE)).lower()
+        if len(self) > 300_000:
+            self.clear()
+        self[raw] = got = (w, *w.split("-")) if "-" in w else (w,)
+        return got
+
+
+def _whole_words(rows: list[str]) -> Iterator[str]:
+    """The blank-separated words of a page that aren't broken over lines."""
+    before = ""
+    for x in rows:
+        parts = x.split()
+        if parts:
+            first, last = int(before[-1:] in _MARKS and before != ""), len(parts) - (parts[-1][-1] in _MARKS)
+            yield from parts[first:last]
+        before = x.rstrip()
+
+
+@dataclass
+class Counts:
+    """The vocabulary that all workers hold, and the rarer words as a table (w, n), or None where there are none."""
+
+    vocabulary: Vocabulary
+    rare: DataFrame | None
+
+
+def vocabulary_of(df: DataFrame, page: str, scan: str, text: str) -> Counts:
     """Counts over all pages. What comes to the driver is bounded: words in at least WORD_SHARE and
     lines in at least LINE_SHARE of the pages, of which a page can hold only so many."""
-    lines = df.where(F.col(text).isNotNull()).select(F.col(page).alias("page"), F.coalesce(F.col(scan).cast("string"), F.col(page).cast("string")).alias("scan"), F.col(text).alias("t"))
+    lines = df.where(F.col(text).isNotNull()).select(F.col(text).alias("t"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: Counter = Counter()
+        raw: Counter = Counter()
         at_edge: Counter = Counter()
-        inside: Counter = Counter()
-        n = 0
+        parts, n = _Parts(), 0
+
+        def words() -> Counter:
+            out: Counter = Counter()
+            for w, k in raw.items():
+                for x in parts[w]:
+                    out[x] += k
+            return out
+
+        def told() -> pd.DataFrame:
+            out = [("n", "", n)] + [("w", w, k) for w, k in words().items() if w] + [("e", x, k) for x, k in at_edge.items()]
+            return pd.DataFrame(out, columns=["kind", "x", "n"])
+
         for pdf in batches:
             for t in pdf["t"]:
                 n += 1
                 rows = t.split("\n")
+                raw.update(_whole_words(rows))
                 top, bottom = edges(rows)
-                edge = set(top[:3] + bottom[-3:])
-                for i, x in enumerate(rows):
-                    if not x.strip():
-                        continue
-                    parts = x.split()
-                    # words broken over lines are not words
-                    if parts[-1][-1:] in "-‐‑­¬":
-                        parts.pop()
-                    if i and rows[i - 1].rstrip()[-1:] in ("-", "‐", "‑", "­", "¬") and parts:
-                        parts = parts[1:]
-                    for w in parts:
-                        w = re.sub(r"['’]s$", "", w.strip(_EDGE)).lower()
-                        words[w] += 1
-                        if "-" in w:
-                            words.update(w.split("-"))
-                    (at_edge if i in edge else inside)[skeleton(x)] += 1
-                    if _capitals(x):
-                        (at_edge if i in edge else inside)[CAPITALS] += 1
-        out = [("n", "", n)] + [("w", w, k) for w, k in words.items() if w] + [("e", x, k) for x, k in at_edge.items()]
-        out += [("i", x, k) for x, k in inside.items()]
-        yield pd.DataFrame(out, columns=["kind", "x", "n"])
+                for i in {*top[:3], *bottom[-3:]}:
+                    at_edge[skeleton(rows[i])] += 1
+                    if _capitals(rows[i]):
+                        at_edge[CAPITALS] += 1
+            if len(raw) + len(at_edge) > 300_000:
+                yield told()
+                raw.clear(), at_edge.clear()
+                n = 0
+        yield told()
 
     got = written(lines.mapInPandas(count, "kind string, x string, n bigint").groupBy("kind", "x").agg(F.sum("n").alias("n")), "p1-counts")
     n = got.where("kind = 'n'").agg(F.sum("n")).first()[0] or 0
-    floor = max(3, round(WORD_SHARE * n))
+    floor = max(KNOWN, round(WORD_SHARE * n))
     words = {r["x"]: r["n"] for r in got.where((F.col("kind") == "w") & (F.col("n") >= floor)).select("x", "n").toLocalIterator()}
     least = max(4, LINE_SHARE * n)
-    inside = got.where("kind = 'i'").select("x", F.col("n").alias("inner_n"))
-    frames = got.where((F.col("kind") == "e") & (F.col("n") >= least)).join(inside, "x", "left").where("coalesce(inner_n, 0) * 8 <= n")
-    return Vocabulary(words, frozenset(r["x"] for r in frames.select("x").toLocalIterator()), floor)
-
-
-_KEPT: dict = {}
+    often = {r["x"]: r["n"] for r in got.where((F.col("kind") == "e") & (F.col("n") >= least)).select("x", "n").toLocalIterator()}
+    shared = df.sparkSession.sparkContext.broadcast(frozenset(often))  # bounded by LINE_SHARE
 
-
-def _by_scan(df: DataFrame, page_id: str, scan: str, page: str, text: str, each, columns: str, vocabulary: Vocabulary) -> DataFrame:
-    """Runs ``each(pages, vocabulary)`` for a scan's pages in order; long scans go in blocks of BLOCK_PAGES page numbers."""
-    shared = df.sparkSession.sparkContext.broadcast((vocabulary.words, vocabulary.frames, vocabulary.floor))  # bounded by the shares
+    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked, seen = shared.value, Counter()
+        for pdf in batches:
+            for t in pdf["t"]:
+                rows = t.split("\n")
+                top, bottom = edges(rows)
+                edge = {*top[:3], *bottom[-3:]}
+                for i, x in enumerate(rows):
+                    if i not in edge and x.strip():
+                        form = skeleton(x)
+                        if form in asked:
+                            seen[form] += 1
+                        if _capitals(x):
+                            seen[CAPITALS] += 1
+        yield pd.DataFrame(list(seen.items()), columns=["x", "n"])
+
+    inner = {r["x"]: r["n"] for r in lines.mapInPandas(inside, "x string, n bigint").groupBy("x").agg(F.sum("n").alias("n")).toLocalIterator()} if often else {}
+    frames = frozenset(x for x, k in often.items() if inner.get(x, 0) * 8 <= k)
+    rare = got.where((F.col("kind") == "w") & (F.col("n") >= KNOWN) & (F.col("n") < floor)).select(F.col("x").alias("w"), "n") if floor > KNOWN else None
+    return Counts(Vocabulary(words, frames, floor / KNOWN), rare)
+
+
+def _asked(text: str, known: Vocabulary) -> set[str]:
+    """The keys of rarer words that the judgement of a page's words may hang on."""
+    lines = [x for x in text.split("\n") if x.strip()]
+    out: set[str] = set()
+    forms: set[str] = set()
+    for line, following in zip(lines, [*lines[1:], None]):
+        for raw in line.split():
+            for part in re.split(r"[-–—/]", raw.strip(_EDGE)):
+                forms.add(re.sub(r"['’](?:s|t|re|ll|ve|d|m)?$", "", part.strip(_EDGE)).lower())
+        m = _ends_broken(line)
+        if m:
+            left = m.group(1).lower()
+            # the word may go on in the next line, or below a frame
+            for after in lines[:EDGE_LINES] + ([following] if following else []):
+                n = _FIRST_WORD.match(after)
+                if n:
+                    right = n.group(1).lower().strip("'’")
+                    forms |= {left, right, left + right.split("-")[0], re.sub(r"['’]s$", "", left + right)}
+                    out |= {left + "-" + right, left + "-" + right.split("-")[0]}
+    for form in forms:
+        if not form or len(form) > WORD_MOST or known.words.get(form, 0) >= 400 * KNOWN * known.scale:
+            continue
+        out.add(form)
+        if form.isalpha():
+            if len(form) >= 3:
+                out.update(_holes(form))
+                out.update(_swaps(form))
+        else:
+            out.update(_shapes(form))
+    return out - known.words.keys()
+
+
+def _rare_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, w, n): the keys under which a rarer word is asked for."""
+    for pdf in batches:
+        rows = []
+        for w, n in zip(pdf["w"], pdf["n"]):
+            keys = {w}
+            if n >= 4 * KNOWN and len(w) <= WORD_MOST:
+                if n >= MEANT and len(w) >= 3 and "-" not in w:
+                    keys.update(_holes(w))
+                shape = w.translate(_SHAPE)
+                keys.update("~" + x for x in (shape, *_holes(shape)))
+            rows += [(k, w, n) for k in keys]
+        yield pd.DataFrame(rows, columns=["key", "w", "n"])
+
+
+def _by_scan(df: DataFrame, page_id: str, scan: str, page: str, text: str, each, columns: str, counts: Counts) -> DataFrame:
+    """Runs ``each(pages, vocabulary)`` for a scan's pages in order and keeps what concerns the block's own pages.
+
+    Long scans go in blocks of BLOCK_PAGES page numbers, pages without number in blocks of
+    page ids; a block also reads the OVERLAP pages before and after it. Where one page was
+    scanned over and over, at most 4 * BLOCK_PAGES rows are held at once.
+    """
+    known = counts.vocabulary
+    shared = df.sparkSession.sparkContext.broadcast((known.words, known.frames, known.scale))  # bounded by the shares
     names = [c.split()[0] for c in columns.split(", ")]
+    most = 4 * BLOCK_PAGES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Vocabulary(*shared.value)
-        now, rows = None, []
+        vocabulary = Vocabulary(*shared.value)
+        now, rows, own, rare, done = None, [], set(), {}, []
+
+        def settle() -> None:
+            if own:
+                vocabulary.add(rare)
+                done.extend(r for r in each([x[:3] for x in rows], vocabulary) if r[0] in own)
+
         for pdf in batches:
-            done = []
-            for s, b, k, n, t in zip(pdf["s"], pdf["b"], pdf["k"], pdf["n"], pdf["t"]):
-                if (s, b) != now or len(rows) >= 4 * BLOCK_PAGES:  # pages without number, or one page scanned over and over
-                    if rows:
-                        done += each(rows, known)
-                    now, rows = (s, b), []
+            for s, b, mine, w, k, n, t in zip(pdf["s"], pdf["b"], pdf["own"], pdf["w"], pdf["k"], pdf["n"], pdf["t"]):
+                if (s, b) != now:
+                    settle()
+                    now, rows, own, rare = (s, b), [], set(), {}
+                elif len(rows) >= most:
+                    # the last pages stay as context
+                    settle()
+                    rows, own = rows[-OVERLAP:], set()
+                if w is not None:
+                    rare[w] = int(n)
+                    continue
                 rows.append((k, None if n != n or n is None else int(n), t))
+                if mine:
+                    own.add(k)
+            if done:
+                yield pd.DataFrame(done, columns=names)
+                done.clear()
+        settle()
+        if done:
             yield pd.DataFrame(done, columns=names)
-        if rows:
-            yield pd.DataFrame(each(rows, known), columns=names)
 
+    number = F.expr(f"try_cast(`{page}` as bigint)")
+    block = F.when(number.isNotNull(), number).otherwise(F.coalesce(F.expr(f"try_cast(`{page_id}` as bigint)"), F.lit(0)))
+    size, numbered = F.lit(BLOCK_PAGES), number.isNotNull()
+    near = F.array_distinct(F.transform(F.array(F.lit(0), F.lit(-OVERLAP), F.lit(OVERLAP)), lambda d: F.floor((block + d) / size)))
     work = df.select(
-        F.coalesce(F.col(scan).cast("string"), F.concat(F.lit("page "), F.col(page_id).cast("string"))).alias("s"),
-        F.expr(f"coalesce(`{page}`, 0) div {BLOCK_PAGES}").alias("b"),
+        F.coalesce(F.concat(F.lit("s"), F.col(scan).cast("string")), F.concat(F.lit("page "), F.col(page_id).cast("string"))).alias("s"),
+        F.explode(near).alias("b"),
+        F.floor(block / size).alias("home"),
+        numbered.alias("numbered"),
         F.col(page_id).alias("k"),
-        F.col(page).cast("double").alias("n"),
+        number.cast("double").alias("n"),
         F.col(text).alias("t"),
     )
-    return work.repartition("s", "b").sortWithinPartitions("s", "b", "n", "k").mapInPandas(run, columns)
+    work = work.select("s", F.concat(F.when(F.col("numbered"), "p").otherwise("i"), F.col("b").cast("string")).alias("b"), (F.col("b") == F.col("home")).alias("own"), F.lit(None).cast("string").alias("w"), "k", "n", "t")
+    if counts.rare is not None:
+
+        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            vocabulary = Vocabulary(*shared.value)
+            for pdf in batches:
+                got = [(s, b, key) for s, b, t in zip(pdf["s"], pdf["b"], pdf["t"]) if t for key in _asked(t, vocabulary)]
+                yield pd.DataFrame(got, columns=["s", "b", "key"])
+
+        asked = work.select("s", "b", "t").mapInPandas(ask, "s string, b string, key string").distinct()
+        told = asked.join(counts.rare.mapInPandas(_rare_keys, "key string, w string, n bigint"), "key").select("s", "b", "w", "n").distinct()
+        told = told.select("s", "b", F.lit(False).alias("own"), "w", F.lit(None).cast(work.schema["k"].dataType).alias("k"), F.col("n").cast("double").alias("n"), F.lit(None).cast("string").alias("t"))
+        work = work.unionByName(told)
+    return work.repartition("s", "b").sortWithinPartitions("s", "b", F.col("w").isNull(), "n", "k").mapInPandas(run, columns)
 
 
 def find_noise(df: DataFrame, page_id: str, scan: str, page: str, text: str) -> DataFrame:
@@ -548,7 +774,7 @@ def find_noise(df: DataFrame, page_id: str, scan: str, page: str, text: str) ->
 
 
 def paragraphs(pages: list[tuple[int, int | None, str | None]], vocabulary: Vocabulary) -> list[tuple[int, int, str]]:
-    """(first page id, number, text) of a scan's paragraphs: frames dropped, broken words closed, ligatures and confusions mended.
+    """(first page id, number on that page, text) of a scan's paragraphs: frames dropped, broken words closed, ligatures and confusions mended.
 
     A page that was scanned twice is taken once, by its first scan.
     """
@@ -556,6 +782,12 @@ def paragraphs(pages: list[tuple[int, int | None, str | None]], vocabulary: Voca
     frames = furniture(split, vocabulary)
     out: list[tuple[int, int, str]] = []
     text, start, seen, gap = "", None, set(), False
+    begun: Counter = Counter()
+
+    def close() -> None:
+        begun[start] += 1
+        out.append((start, begun[start], text))
+
     for p, (key, number, t) in enumerate(pages):
         if number is not None and number in seen or not t:
             continue
@@ -573,7 +805,7 @@ def paragraphs(pages: list[tuple[int, int | None, str | None]], vocabulary: Voca
                 gap = True
                 continue
             if text and gap and not _ends_broken(text):
-                out.append((start, len(out) + 1, text))
+                close()
                 text = ""
             gap = False
             if not text:
@@ -587,7 +819,7 @@ def paragraphs(pages: list[tuple[int, int | None, str | None]], vocabulary: Voca
         # a page's last line runs on unless it ends a sentence
         gap = bool(re.search(r"[.!?][\"”)]?$", text))
     if text:
-        out.append((start, len(out) + 1, text))
+        close()
     return out
 
 
@@ -600,7 +832,7 @@ def _mended(line: str, vocabulary: Vocabulary) -> str:
     words = line.split()
     for i, w in enumerate(words):
         bare = w.strip(_EDGE)
-        if len(bare) >= 3 and misread_word(w, vocabulary):
+        if len(bare) >= 3 and vocabulary.judged[w]:
             meant = vocabulary.meant(bare.lower())
             if meant:
                 meant = meant.upper() if bare.isupper() else meant.capitalize() if bare[:1].isupper() else meant
