@@ -49,7 +49,7 @@ def _ends_broken(line: str):
 
 def fold(line: str) -> str:
     """A line's letters with look-alikes made one, for fuzzy comparison."""
-    text = re.sub(r"\s+", " ", line.strip()[:LINE_MOST].lower()).replace("rn", "m").replace("ri", "n").replace("vv", "w").replace("cl", "d")
+    text = " ".join(line.strip()[:LINE_MOST].lower().split()).replace("rn", "m").replace("ri", "n").replace("vv", "w").replace("cl", "d")
     return text.translate(_FOLD)
 
 
@@ -314,18 +314,15 @@ def misread_word(raw: str, vocabulary: Vocabulary) -> bool:
     return False
 
 
-def _similar(a: str, b: str) -> bool:
-    """Whether two folded edge lines repeat one another but for a few misread characters."""
-    if a == b:
-        return True
-    if abs(len(a) - len(b)) > 3 or min(len(a), len(b)) < 4:
-        return False
-    x, y = a.split(), b.split()
-    if len(x) == len(y):
-        differ = [(p, q) for p, q in zip(x, y) if p != q]
-        if len(differ) <= max(1, len(x) // 2) and all(_one_off(p, q) for p, q in differ):
-            return True
-    return False
+def _similar(x: list[str], y: list[str]) -> bool:
+    """Whether the words of two folded edge lines, as many in both, repeat one another but for a few misread characters."""
+    most = max(1, len(x) // 2)
+    for p, q in zip(x, y):
+        if p != q:
+            most -= 1
+            if most < 0 or not _one_off(p, q):
+                return False
+    return True
 
 
 def _one_off(a: str, b: str) -> bool:
@@ -373,14 +370,18 @@ def furniture(pages: list[tuple[int | None, list[str]]], vocabulary: Vocabulary)
         exact: dict[str, set[int]] = defaultdict(set)
         for p, _, _, text in rows:
             exact[text].add(p)
-        texts = list(exact)
+        by_words: dict[int, list[tuple[str, list[str]]]] = defaultdict(list)
+        for text in exact:
+            if len(text) >= 4:
+                by_words[text.count(" ")].append((text, text.split()))
         for p, i, rank, text in rows:
             if i in out[p] or not re.search(r"[^\W\d_]{2}", text):
                 continue
             seen = set(exact[text])
-            if len(seen) < 2:
-                for other in texts:
-                    if other is not text and _similar(text, other):
+            if len(seen) < 2 and len(text) >= 4:
+                mine, size = text.split(), len(text)
+                for other, words in by_words[text.count(" ")]:
+                    if other is not text and -4 < len(other) - size < 4 and _similar(mine, words):
                         seen |= exact[other]
             distinct = {(pages[q][0], q if pages[q][0] is None else 0) for q in seen}
             # the same page scanned twice repeats its body as well
@@ -736,7 +737,7 @@ def _by_scan(df: DataFrame, page_id: str, scan: str, page: str, text: str, each,
     number = F.expr(f"try_cast(`{page}` as bigint)")
     block = F.when(number.isNotNull(), number).otherwise(F.coalesce(F.expr(f"try_cast(`{page_id}` as bigint)"), F.lit(0)))
     size, numbered = F.lit(BLOCK_PAGES), number.isNotNull()
-    near = F.array_distinct(F.transform(F.array(F.lit(0), F.lit(-OVERLAP), F.lit(OVERLAP)), lambda d: F.floor((block + d) / size)))
+    near = F.array_distinct(F.transform(F.array(F.lit(0), F.lit(-OVERLAP), F.lit(OVERLAP)), lambda d: F.greatest(F.floor((block + d) / size), F.when(block >= 0, 0).otherwise(F.floor(block / size) - 1))))
     work = df.select(
         F.coalesce(F.concat(F.lit("s"), F.col(scan).cast("string")), F.concat(F.lit("page "), F.col(page_id).cast("string"))).alias("s"),
         F.explode(near).alias("b"),

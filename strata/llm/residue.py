@@ -358,6 +358,7 @@ SLOT = re.compile(
     r"|\[(?:title|headline|author|body|summary|excerpt|name|date|[a-z]+_[a-z_]+)\]"
     r"|(?:\{\{|\$\{|#\{|\{%|<%)[\w. =]{0,40}$|%\([\w.]{0,40}$|\[INSERT[A-Z ]{0,30}$|<ENTER[A-Z ]{0,30}$"
 )
+_SLOT_SIGNS = ("{", "[", "<", "%", "__", "@@", "&lt;")
 SLOT_START = re.compile(r"\{|\[|<%|<\?|<[A-Za-z]|%\(|%[A-Z]|__[A-Z]|@@|&lt;")
 _WORD = re.compile(r"\x00|[\w./\\:$]*\d[\w./\\:$]*|[^\W\d_]+(?:['’][^\W\d_]+)*")
 _BREAKS = ("! ", "? ", ": ", "; ", "| ", "… ", ") ", "] ", "\n")
@@ -437,7 +438,7 @@ class Index:
         """(best exemplar, containment, passage coverage) of the first residue passage, or None."""
         if not text:
             return None
-        if SLOT_START.search(text):
+        if any(x in text for x in _SLOT_SIGNS) and SLOT_START.search(text):
             plain = html.unescape(text) if "&" in text else text
             hit = self._slot(plain)
             if hit:

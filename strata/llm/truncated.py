@@ -28,6 +28,7 @@ MARK = re.compile(
     r"|(?:[^.!?\s]\s+)(?:read\s+more|continue\s+reading|leer\s+más|seguir\s+leyendo|continuar\s+leyendo)\s*[»>→]*\s*(?:</\w+>\s*)*$",
     re.I,
 )
+MARK_SIGNS = ("...", "…", "&", "more", "más", "leyendo", "reading", "continue", "sigue")  # one of them is in any mark, lowered
 CLOSED = re.compile(r"(?:[.!?][\"'”’»)\]]*|[”»)\]])\s*(?:</\w+>\s*)*$")
 BROKEN = re.compile(r"&(?:#x?[0-9a-fA-F]*|[a-zA-Z]{0,7})$|%[0-9A-F]?$|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?$|[�\ud800-\udfff]$|[ÃÂ]$|â(?:€)?$")
 LABEL = re.compile(r"(?:^|[.!?”)]\s+)[A-ZÁÉÍÓÚ][\w áéíóúñ]{1,24}:\s[^.!?]{1,90}$")
@@ -238,7 +239,9 @@ def _known_cut(text: str, char_limit: int | None, byte_limit: int | None) -> str
         bare = bare[: tag.start()].rstrip()
     if not bare:
         return None
-    if MARK.search(bare[-60:]):
+    end = bare[-60:]
+    low = end.lower()
+    if any(x in low for x in MARK_SIGNS) and MARK.search(end):
         return "mark"
     chars, size = len(text), _size(text)
     if chars == char_limit or size == byte_limit:
