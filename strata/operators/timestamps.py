@@ -1,9 +1,11 @@
 """Mixed timestamp formats and zones, normalised to one UTC instant.
 
-Every value yields an array of valid readings (format, instant). A source writes its
-records in one or a few forms, so where more than one reading is left, the readings of a
-source are chosen together by Viterbi over the record order: a change of format and a step
-back in time cost, as does a reading against the stated convention.
+Every value yields an array of all its valid readings (format, instant, cost): every form it
+has, both orders of slashed and dotted dates, both folds of a repeated hour, an abbreviation
+as its own offset or as what the source's zone calls so. The readings of a source are chosen
+together by Viterbi over the record order: a change of format and a step back in time cost,
+as does a reading against convention. A convention that is stated for good has a cost no
+chain outweighs; one that is left open ("auto") gives way to the source's own records.
 """
 
 from __future__ import annotations
@@ -63,46 +65,51 @@ def _zone(name: str) -> ZoneInfo | None:
 
 
 @lru_cache(maxsize=200_000)
-def _region_offset(name: str, hour: datetime) -> int | None:
-    """Offset in seconds at a wall clock hour and half; both folds and gaps count from the earlier offset."""
+def _region_offsets(name: str, quarter: datetime) -> tuple[int, ...]:
+    """Offsets in seconds at a wall clock quarter: the earlier one first, the later one too where the hour comes twice."""
     zone = _zone(name)
-    return None if zone is None else int(hour.replace(tzinfo=zone).utcoffset().total_seconds())
+    if zone is None:
+        return ()
+    first, second = (int(quarter.replace(tzinfo=zone, fold=f).utcoffset().total_seconds()) for f in (0, 1))
+    # in a gap the offset before it holds, which moves the time forward by the gap
+    return (first, second) if first > second else (first,)
 
 
-def _instant(wall: datetime, region: str) -> int | None:
+def _instants(wall: datetime, region: str) -> list[int]:
     # offsets change on quarter hours only, so the quarter is what is looked up
-    off = _region_offset(region, wall.replace(minute=wall.minute // 15 * 15, second=0, microsecond=0))
-    return None if off is None else (wall - _ZERO) // _US - off * 1_000_000
+    quarter = wall.replace(minute=wall.minute // 15 * 15, second=0, microsecond=0)
+    return [(wall - _ZERO) // _US - off * 1_000_000 for off in _region_offsets(region, quarter)]
 
 
-def _civil(g: dict, year: int, month: int, day: int, zone_name: str | None) -> int | None:
-    """Microseconds since the epoch, or None where the parts name no moment."""
+def _civil(g: dict, year: int, month: int, day: int, zone_name: str | None) -> list[tuple[int, str]]:
+    """All instants (microseconds since the epoch, how read) that the parts may name; the conventional one first."""
     hour, minute, second = int(g.get("h") or 0), int(g.get("mi") or 0), int(g.get("s") or 0)
     half = g.get("half")
     if half:
         if not 1 <= hour <= 12:
-            return None
+            return []
         hour = hour % 12 + (12 if half == "p" else 0)
     micros = int(((g.get("f") or "") + "000000")[:6])
     try:
         wall = datetime(year, month, day, hour, minute, second, micros)
     except ValueError:
-        return None
+        return []
     mark, region = g.get("zone"), g.get("region")
     if mark:
         if mark[0] in "+-":
             digits = mark[1:].replace(":", "")
             hours, minutes = int(digits[:2]), int(digits[2:] or 0)
             if hours > 18 or minutes > 59:
-                return None
-            shift = (hours * 60 + minutes) * (-1 if mark[0] == "-" else 1)
-        elif mark in ABBREVIATIONS:
-            shift = ABBREVIATIONS[mark]
-        else:
-            return None
-        return (wall - _ZERO) // _US - shift * 60_000_000
+                return []
+            return [((wall - _ZERO) // _US - (hours * 60 + minutes) * (-60_000_000 if mark[0] == "-" else 60_000_000), "")]
+        if mark not in ABBREVIATIONS:
+            return []
+        fixed = (wall - _ZERO) // _US - ABBREVIATIONS[mark] * 60_000_000
+        # an abbreviation may merely name the source's own zone, whatever the season
+        local = [us for us in (_instants(wall, zone_name) if zone_name and ABBREVIATIONS[mark] else []) if 0 < abs(us - fixed) <= 3_600_000_000]
+        return [(fixed, ""), *[(us, "~zone") for us in local[:1]]]
     name = _canonical(region) if region else zone_name
-    return None if name is None else _instant(wall, name)
+    return [] if name is None else [(us, "~later" if k else "") for k, us in enumerate(_instants(wall, name))]
 
 
 @lru_cache(maxsize=4096)
@@ -113,12 +120,17 @@ def _canonical(lowered: str) -> str:
     return "/".join("_".join(w[:1].upper() + w[1:] for w in part.split("_")) for part in lowered.split("/"))
 
 
-def readings(value: str | None, zone: str | None, slash: str = "mdy", dot: str = "dmy") -> list[tuple[str, int, float]]:
+STATED, LEANING = 1e9, 0.25  # cost of a reading against a convention stated for good, and against a mere preference
+
+
+def readings(value: str | None, zone: str | None, slash: str = "mdy", dot: str = "dmy", fold: str = "first", mark: str = "fixed") -> list[tuple[str, int, float]]:
     """All valid readings of one value: (format, microseconds UTC, cost against convention).
 
     ``zone`` is the wall time's zone for values that name none; null means such values
-    have no reading. ``slash`` and ``dot`` are 'mdy', 'dmy' or 'auto'; 'auto' gives both
-    orders where both are real dates and leaves the choice to the source's other records.
+    have no reading. ``slash`` and ``dot`` are 'mdy', 'dmy' or 'auto', ``fold`` is 'first' or
+    'auto', ``mark`` (zone abbreviations) 'fixed' or 'auto'; 'auto' leaves the choice to the
+    source's other records. Readings against a stated convention are listed at a cost of
+    STATED; ``viterbi`` never takes one.
     """
     if value is None:
         return []
@@ -130,6 +142,7 @@ def readings(value: str | None, zone: str | None, slash: str = "mdy", dot: str =
         digits, tail = m.group(1), m.group(2) or ""
         unit = {9: 0, 10: 0, 12: 3, 13: 3, 15: 6, 16: 6, 18: 9, 19: 9}[len(digits)]
         return [(f"epoch{unit}", int(digits + tail.ljust(9, "0")[: 6 - unit]) if unit <= 6 else int(digits) // 1000, 0.0)]
+    against = {"~later": STATED if fold == "first" else LEANING, "~zone": STATED if mark == "fixed" else LEANING, "": 0.0}
     out = []
     for name, form in FORMS:
         m = form.fullmatch(text)
@@ -140,19 +153,17 @@ def readings(value: str | None, zone: str | None, slash: str = "mdy", dot: str =
         if "a" in g:
             a, b = int(g["a"]), int(g["b"])
             order = slash if name == "slash" else dot
-            ways = {"mdy": [(a, b, "mdy")], "dmy": [(b, a, "dmy")], "auto": [(a, b, "mdy"), (b, a, "dmy")]}[order]
+            usual = order if order != "auto" else "mdy" if name == "slash" else "dmy"
+            cost = LEANING if order == "auto" else STATED
+            ways = [(a, b, "mdy", 0.0 if usual == "mdy" else cost), (b, a, "dmy", 0.0 if usual == "dmy" else cost)]
         elif "mon" in g:
             if g["mon"] not in MONTHS:
                 continue
-            ways = [(MONTHS[g["mon"]], int(g["d"]), "")]
+            ways = [(MONTHS[g["mon"]], int(g["d"]), "", 0.0)]
         else:
-            ways = [(int(g["m"]), int(g["d"]), "")]
-        for month, day, how in ways:
-            us = _civil(g, year, month, day, zone)
-            if us is not None:
-                out.append((name + how, us, 0.25 * (how == ("dmy" if name == "slash" else "mdy"))))
-        if out:
-            break
+            ways = [(int(g["m"]), int(g["d"]), "", 0.0)]
+        for month, day, how, cost in ways:
+            out += [(name + how + read, us, cost + against[read]) for us, read in _civil(g, year, month, day, zone)]
     return out
 
 
@@ -162,7 +173,8 @@ SWITCH_COST, BACK_COST, BACK_FREE_US = 1.0, 0.5, 2 * 86_400_000_000
 def viterbi(lists: list[list[tuple[str, int, float]]]) -> list[tuple[str, int] | None]:
     """One reading for each record of a source, in record order; None where there is none.
 
-    Records with one reading cut the chain: only the stretches between them are searched.
+    Readings against a stated convention are no states. Records with one state cut the
+    chain: only the stretches between them are searched.
     """
     chosen: list[tuple[str, int] | None] = [None] * len(lists)
     layer: list[tuple[float, str, int]] = []  # cost, format, instant of each state of the last record that has any
@@ -177,7 +189,8 @@ def viterbi(lists: list[list[tuple[str, int, float]]]) -> list[tuple[str, int] |
             best = back[best] if back else 0
         trail.clear()
 
-    for at, states in enumerate(lists):
+    for at, every in enumerate(lists):
+        states = [x for x in every if x[2] < STATED]
         if not states:
             continue
         back, fresh = [], []
@@ -205,6 +218,8 @@ def normalise(
     default_zone: str | None = None,
     slash: str = "mdy",
     dot: str = "dmy",
+    fold: str = "first",
+    mark: str = "fixed",
     block: int = 65_536,
 ) -> DataFrame:
     """``keep`` columns plus ``reading`` (format) and ``utc_us`` for each value that names a moment.
@@ -251,7 +266,7 @@ def normalise(
                     settle()
                     now = (s, b)
                 rows.append(k)
-                lists.append(readings(v, z, slash, dot))
+                lists.append(readings(v, z, slash, dot, fold, mark))
             if len(done) > 20_000:
                 yield emit()
         settle()

@@ -69,10 +69,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each feed's items use each form, with the order of slashed dates left to the source's own records."""
+    """How often each feed's items use each form, with date orders, folds and abbreviations left to the source's own records."""
     feeds = table(spark, sf_dir, "feeds").select(F.col("id").alias("feed_id"), "tz")
     items = table(spark, sf_dir, "feed_items").select("item_no", "feed_id", "published").join(feeds, "feed_id", "left")
-    got = timestamps.normalise(items, "published", "feed_id", "item_no", "tz", ("feed_id",), "UTC", slash="auto", dot="auto")
+    got = timestamps.normalise(items, "published", "feed_id", "item_no", "tz", ("feed_id",), "UTC", slash="auto", dot="auto", fold="auto", mark="auto")
     return got.groupBy("feed_id", "reading").agg(F.count("*").alias("n"), F.min("utc_us").alias("first_us"), F.max("utc_us").alias("last_us"))
 
 

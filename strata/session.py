@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,12 +32,16 @@ def build(app: str = "strata", master: str = "local[8]", shuffle: int = 8) -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. The cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, notebooks on one machine) a folder of this
-    process is made, set on the session and removed at exit.
+    Only where the setting is absent on a local master (tests, notebooks on one machine) a
+    folder of this process is made, set on the session and removed at exit; on a cluster
+    an absent setting is an error, for no machine's own folder is shared.
     """
     have = spark.conf.get(CHECKPOINT_KEY, None)
     if have:
         return have.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors of {master} share")
     own = tempfile.mkdtemp(prefix="strata-shared-")
     atexit.register(shutil.rmtree, own, True)
     spark.conf.set(CHECKPOINT_KEY, f"file://{own}")
@@ -51,7 +56,22 @@ def written(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Da
     if partition_by:
         out = out.partitionBy(*partition_by)
     out.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[got] = path
+    return got
+
+
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes tables that ``written`` made, once nothing reads them any more."""
+    for df in frames:
+        path = _WRITTEN.pop(df, None)
+        if path is not None:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

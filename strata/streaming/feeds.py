@@ -17,18 +17,22 @@ def stamped(items: DataFrame) -> DataFrame:
 def ingest(spark: SparkSession, source: str, schema, store: str, checkpoint: str, order: str = "item_no") -> StreamingQuery:
     """Runs what has arrived in ``source`` through once: each micro-batch appends the items that the store lacks.
 
-    The store is Parquet in a folder all executors share; a batch that is run again after
-    a failure finds its items there and appends nothing twice.
+    The store is Parquet in a folder all executors share, partitioned by the first two
+    digits of the hash, so a batch reads only the partitions its items may lie in. A batch
+    that is run again after a failure finds its items there and appends nothing twice. Only
+    a store that doesn't exist counts as empty; one that can't be read raises its error.
     """
     stream = spark.readStream.schema(schema).parquet(source)
 
     def write(batch: DataFrame, _: int) -> None:
-        fresh = stamped(batch)
-        try:
-            have = spark.read.parquet(store)
-        except Exception:  # the store doesn't exist before the first batch
+        fresh = stamped(batch).withColumn("part", F.substring("item_hash", 1, 2))
+        at = spark._jvm.org.apache.hadoop.fs.Path(store)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            asked = [r["part"] for r in fresh.select("part").distinct().collect()]  # at most 256
+            have = spark.read.schema(fresh.schema).parquet(store).where(F.col("part").isin(asked))
+        else:
             have = fresh.limit(0)
-        insert_ignore(have, fresh, ["item_hash"], [order]).write.mode("append").parquet(store)
+        insert_ignore(have, fresh, ["item_hash"], [order]).write.mode("append").partitionBy("part").parquet(store)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

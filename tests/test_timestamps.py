@@ -3,7 +3,7 @@ from itertools import product
 
 import pytest
 
-from strata.operators.timestamps import BACK_COST, BACK_FREE_US, SWITCH_COST, normalise, readings, viterbi
+from strata.operators.timestamps import BACK_COST, BACK_FREE_US, STATED, SWITCH_COST, normalise, readings, viterbi
 
 
 def us(text):
@@ -37,12 +37,29 @@ def us(text):
     ],
 )
 def test_forms(value, zone, utc):
-    assert [r[1] for r in readings(value, zone)] == [us(utc)]
+    assert [r[1] for r in readings(value, zone) if r[2] < STATED] == [us(utc)]
+
+
+def test_all_readings_are_listed():
+    """Both date orders, both folds, and an abbreviation as the source's own zone; those against a stated convention never win."""
+    got = lambda v, z, **k: {(r[0], r[1], r[2] < STATED) for r in readings(v, z, **k)}
+    assert got("02/03/2024", "UTC") == {("slashmdy", us("2024-02-03"), True), ("slashdmy", us("2024-03-02"), False)}
+    assert got("02/03/2024", "UTC", slash="auto") == {("slashmdy", us("2024-02-03"), True), ("slashdmy", us("2024-03-02"), True)}
+    assert got("2025-11-02 01:30", "America/New_York") == {("iso", us("2025-11-02T05:30:00"), True), ("iso~later", us("2025-11-02T06:30:00"), False)}
+    assert got("Jul 14, 2024 3:03 AM EST", "America/New_York", mark="auto") == {("month", us("2024-07-14T08:03:00"), True), ("month~zone", us("2024-07-14T07:03:00"), True)}
+    assert viterbi([readings("13/02/2024", "UTC")]) == [None]
+
+
+def test_order_decides_repeated_hours():
+    """With folds left open the source's order tells the second pass through a repeated hour."""
+    values = ["2025-11-02 00:30", "2025-11-02 01:30", "2025-11-02T06:10:00Z", "2025-11-02 01:40", "2025-11-02 02:10"]
+    lists = [readings(v, "America/New_York", fold="auto") for v in values]
+    assert viterbi(lists)[1] == ("iso", us("2025-11-02T05:30:00"))
 
 
 @pytest.mark.parametrize("value", [None, "", "  ", "TBD", "n/a", "yesterday", "25:61", "2026-13-05", "2025-02-30T10:00:00Z", "0000-00-00T00:00:00Z", "Thu, 32 Jan 2026 10:00:00 GMT", "13/13/2024", "9" * 4000])
 def test_no_moment(value):
-    assert readings(value, "UTC") == []
+    assert [r for r in readings(value, "UTC") if r[2] < STATED] == []
 
 
 def test_wall_time_needs_a_zone():
