@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,26 +22,34 @@ STUDENT = (
 SCHOOL = (shred.Entity("program", ("programs",), ("program_name", "program_id", "program_type", "status")),)
 
 
-def _student_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = table(spark, sf_dir, "records")
-    body = F.to_json(F.struct("student_id", "lifecycle", "enrollments", "standards_mastery", "modules"), {"ignoreNullFields": "false"})
-    records = records.select(F.lit("records").alias("origin"), F.col("record_no").alias("row_no"), body.alias("body"))
+MODULES = (shred.Entity("assignment", STUDENT[3].path[1:], STUDENT[3].fields, True, STUDENT[3].own, "module_id"),)
+
+
+def _keyed(specs: tuple[shred.Entity, ...]) -> tuple[shred.Entity, ...]:
+    """The entities with their own key only."""
+    return tuple(dataclasses.replace(e, fields=e.fields[:1]) for e in specs)
+
+
+def _student_nodes(spark: SparkSession, sf_dir: str, narrow=lambda specs: specs) -> DataFrame:
+    """Columns with a schema are shredded by built-in functions; only JSON text goes to Python."""
+    keys, specs = ("origin", "row_no"), narrow(STUDENT)
+    records = table(spark, sf_dir, "records").select(F.lit("records").alias("origin"), F.col("record_no").alias("row_no"), "student_id", "enrollments", "lifecycle", "standards_mastery", "modules")
+    typed = shred.typed_nodes(records, keys, ("student_id",), ((specs[0], "enrollments"), (specs[1], "lifecycle"), (specs[2], "standards_mastery")))
+    modules = shred.shred(records.select(*keys, "modules"), keys, "modules", narrow(MODULES), (), below=4 * shred.STRIDE)
     raw = table(spark, sf_dir, "raw_records").select(F.lit("raw_records").alias("origin"), F.col("raw_no").alias("row_no"), "body")
-    return shred.shred(records.unionByName(raw), ("origin", "row_no"), "body", STUDENT, ("student_id",))
+    return typed.unionByName(modules).unionByName(shred.shred(raw, keys, "body", specs, ("student_id",)))
 
 
-def _school_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schools = table(spark, sf_dir, "schools").select(
-        F.lit("schools").alias("origin"), F.col("row_no"), F.to_json(F.struct("msid", "programs"), {"ignoreNullFields": "false"}).alias("body")
-    )
-    return shred.shred(schools, ("origin", "row_no"), "body", SCHOOL, ("msid",))
+def _school_nodes(spark: SparkSession, sf_dir: str, narrow=lambda specs: specs) -> DataFrame:
+    schools = table(spark, sf_dir, "schools").select(F.lit("schools").alias("origin"), "row_no", "msid", "programs")
+    return shred.typed_nodes(schools, ("origin", "row_no"), ("msid",), ((narrow(SCHOOL)[0], "programs"),))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every child of every record with its parent's key, once each."""
     keys = ("origin", "row_no")
-    students = shred.entity_keys(written(_student_nodes(spark, sf_dir), "p3-nodes"), keys, "student_id", STUDENT)
-    schools = shred.entity_keys(written(_school_nodes(spark, sf_dir), "p3-school-nodes"), keys, "msid", SCHOOL)
+    students = shred.entity_keys(written(_student_nodes(spark, sf_dir, _keyed), "p3-nodes"), keys, "student_id", _keyed(STUDENT))
+    schools = shred.entity_keys(_school_nodes(spark, sf_dir, _keyed), keys, "msid", _keyed(SCHOOL))
     schools = schools.withColumn("child_key", F.expr(r"regexp_replace(child_key, '(?U)^\\s+|\\s+$', '')"))
     both = students.unionByName(schools)
     blank = F.expr(r"child_key rlike '(?U)^\\s*$' or parent_key rlike '(?U)^\\s*$'")
