@@ -458,23 +458,35 @@ class Index:
 
     def _slot(self, text: str) -> tuple[str, float, float] | None:
         for m in SLOT.finditer(text):
+            # the slot's own window contains the exemplar whole; how much of its passage that explains is measured
             before = terms(text[max(0, m.start() - 60) : m.start()])[-4:]
             after = terms(text[m.end() : m.end() + 40])[:3]
             quoted = text[max(0, m.start() - 1) : m.start()] in "“\"‘" and text[m.start() - 1 : m.start()] != ""
             mention = sum(t in self.mention for t in before) >= 1 and bool(after) or {"left", "blank"} <= set(after)
             if not mention and not quoted:
-                return ("<slot>", 1.0, 1.0)
+                start = max(text.rfind(x, 0, m.start()) for x in (". ", "! ", "? ", "\n")) + 1
+                end = min((i for x in (". ", "! ", "? ", "\n") if (i := text.find(x, m.end())) >= 0), default=len(text))
+                rest = [w for w in terms(text[start : m.start()]) + terms(text[m.end() : end]) if w != "#"]
+                return ("<slot>", 1.0, self._share([self.default_idf], rest))
         return None
 
+    def _share(self, explained: list[float], rest: list[str]) -> float:
+        """Share of a passage's weight that is explained."""
+        got = sum(explained)
+        return round(got / (got + sum(self.idf.get(w, self.default_idf) for w in rest)), 4)
+
     def _passage(self, passage: str) -> tuple[str, float, float] | None:
         words = terms(passage)
         plain = [w for w in words if w != "#"]
         if not plain:
             return None
-        if len(plain) >= 3 and sum(w in self.lorem for w in plain) >= 0.8 * len(plain) and any(len(w) > 4 for w in plain):
-            return ("lorem", 1.0, 1.0)
-        if len(plain) >= 2 and all(w in self.mash or set(w) == {"x"} for w in plain):
-            return ("mash", 1.0, 1.0)
+        # filler comes in any order and length: the passage must be contained in the exemplar, not the other way round
+        for name, words_of, least in (("lorem", [w for w in plain if w in self.lorem], 3), ("mash", [w for w in plain if w in self.mash or set(w) == {"x"}], 2)):
+            if len(plain) >= least and len(words_of) >= 0.75 * len(plain) and (name == "mash" or any(len(w) > 4 for w in plain)):
+                held = Counter(words_of)
+                share = self._share([self.default_idf * len(words_of)], list((Counter(plain) - held).elements()))
+                if share >= (0.8 if name == "lorem" else 1.0):
+                    return (name, share, share)
         have = Counter(plain)
         shared: Counter = Counter()
         for t, n in have.items():
@@ -538,6 +550,12 @@ def fitted(df: DataFrame, columns: tuple[str, ...]) -> Index:
     return Index({t: math.log((n + 1) / (df_of.get(t, 0) + 1)) + 1.0 for t in Index().vocabulary})
 
 
+def exemplars(spark) -> DataFrame:
+    """The labelled exemplars as a table: label (residue, filler, counter) and text."""
+    rows = [("residue", x) for x in RESIDUE.split("\n") if x.strip()] + [("filler", w) for t in (FILLER_LOREM, FILLER_MASH) for w in t.split()] + [("counter", w) for w in MENTION.split()]
+    return spark.createDataFrame(rows, "label string, text string")
+
+
 def find_residue(df: DataFrame, key: str, columns: tuple[str, ...], index: Index | None = None) -> DataFrame:
     """``key``, field, exemplar, containment and coverage of every text that is or contains residue;
     ``first_of_row`` marks one result for each row.
