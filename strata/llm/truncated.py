@@ -1,9 +1,10 @@
 """Texts that lost their end, and how often each source cuts.
 
-A text's end is read by a stack automaton over quotes, brackets, markup and escapes, by
-its marks of continuation, by the length limit its source shows, and, where it merely has
-no closing punctuation, by how often the corpus ends a text or sentence after the same
-words. The corpus counts live in a hashed table of fixed size.
+A text's end is read by a stack automaton over quotes, brackets, markup and escapes first,
+then by its marks of continuation, by the length limit its source shows, and, where it
+merely has no closing punctuation, by how often the corpus ends a text or sentence after the
+same words, held against how often the source leaves whole texts without terminator. The
+corpus counts live in a hashed table of fixed size.
 """
 
 from __future__ import annotations
@@ -159,11 +160,13 @@ def _size(text: str) -> int:
 
 
 def length_limits(work: DataFrame) -> DataFrame:
-    """(source, char_limit, byte_limit) from the lengths at which a source's open ends pile up; ``work`` has source and t."""
+    """(source, char_limit, byte_limit) from the lengths at which a source's open ends pile up, and ``open_share``, how
+    often its texts off those lengths have no terminator; ``work`` has source and t."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lengths: Counter = Counter()
         most: dict = {}
+        texts: Counter = Counter()
         for pdf in batches:
             for s, t in zip(pdf["source"], pdf["t"]):
                 if not t or not t.strip():
@@ -171,14 +174,16 @@ def length_limits(work: DataFrame) -> DataFrame:
                 chars, size = len(t), _size(t)
                 was = most.get(s, (0, 0))
                 most[s] = (max(was[0], chars), max(was[1], size))
+                texts[s] += 1
                 if not CLOSED.search(t[-60:]):
                     lengths[s, 0, chars] += 1
                     lengths[s, 1, size] += 1
-        rows = [(u, s, n, c) for (s, u, n), c in lengths.items()] + [(u, s, m[u], 0) for s, m in most.items() for u in (0, 1)]
+        rows = [(u, s, n, c) for (s, u, n), c in lengths.items()] + [(u, s, m[u], 0) for s, m in most.items() for u in (0, 1)] + [(2, s, 0, n) for s, n in texts.items()]
         yield pd.DataFrame(rows, columns=["kind", "source", "a", "n"])
 
     got = work.mapInPandas(count, "kind int, source string, a bigint, n bigint").groupBy("kind", "source", "a").agg(F.sum("n").alias("n"))
-    lengths = written(got, "p5-lengths")
+    told = written(got, "p5-lengths")
+    lengths = told.where("kind < 2")
     longest = lengths.groupBy("kind", "source").agg(F.max("a").alias("longest"))
     spikes = lengths.join(longest, ["kind", "source"]).where("a >= longest - if(kind = 1, 3, 0) and n > 0")
     # lengths at which several sources stop are limits of the publishing system, also for a source seen cut once
@@ -190,11 +195,16 @@ def length_limits(work: DataFrame) -> DataFrame:
         .agg(*[F.max(F.when(F.col("kind") == k, F.struct("a", "n"))).alias(u) for k, u in ((0, "c"), (1, "b"))])
     )
     # a limit is in characters or in bytes; the unit in which more texts stop exactly there is the source's
-    return limits.select(
+    limits = limits.select(
         "source",
         F.when(F.col("b.a").isNull() | (F.col("b.a") == F.col("c.a")) | (F.col("c.n") >= F.col("b.n")), F.col("c.a")).alias("char_limit"),
         F.when(F.col("c.a").isNull() | (F.col("b.a") == F.col("c.a")) | (F.col("b.n") > F.col("c.n")), F.col("b.a")).alias("byte_limit"),
     )
+    ends = told.where("kind <> 1").join(limits.select("source", "char_limit"), "source", "left").groupBy("source")
+    ends = ends.agg(F.sum(F.when(F.col("kind") == 2, F.col("n")).otherwise(0)).alias("texts"), F.sum(F.when((F.col("kind") == 0) & (F.col("a") != F.coalesce("char_limit", F.lit(-1))), F.col("n")).otherwise(0)).alias("open"))
+    # few texts tell nothing about a source: its share is then taken for the usual one
+    share = F.when(F.col("texts") >= BASELINE_TEXTS, F.col("open") / F.col("texts"))
+    return ends.select("source", share.alias("open_share")).join(limits, "source", "left")
 
 
 def _limits(pdf: pd.DataFrame) -> tuple[list, list]:
@@ -255,9 +265,17 @@ def _known_cut(text: str, char_limit: int | None, byte_limit: int | None) -> str
 
 
 OPEN_SHARE = 2e-5
+BASELINE_TEXTS, STRICT_UNDER, MILD_OVER = 50, 0.02, 0.25  # texts a source must have; shares of open ends under and over which it is unusual
 
 
-def _whole(text: str, table: np.ndarray, coder: _Coder, buckets: int, n_texts: int = 0) -> bool:
+def _measure(open_share: float | None) -> float:
+    """How strong the sign of whole texts must be: stronger in a source that closes nearly all its texts, weaker in one that often doesn't."""
+    if open_share is None or open_share != open_share:
+        return 1.0
+    return 1.5 if open_share <= STRICT_UNDER else 0.6 if open_share >= MILD_OVER else 1.0
+
+
+def _whole(text: str, table: np.ndarray, coder: _Coder, buckets: int, n_texts: int = 0, open_share: float | None = None) -> bool:
     """Whether a text without closing punctuation still ends where the corpus ends texts or sentences.
 
     An open end counts when a fair share of all texts ends so: parts of words, which only
@@ -272,17 +290,21 @@ def _whole(text: str, table: np.ndarray, coder: _Coder, buckets: int, n_texts: i
     n, n_end, n_open = (int(table[i][one]) for i in range(3))
     if n - n_open < often and n_open < often:
         return False
-    for key, share, least in ((three, 0.02, 4), (two, 0.04, 6)):
+    measure = _measure(open_share)
+    for key, share, least in ((three, 0.02 * measure, 4), (two, 0.04 * measure, 6)):
         m, m_end, m_open = (int(table[i][key]) for i in range(3))
         if m >= least:
             return m_end >= share * m or (m_open >= often and m_open >= 0.02 * m) or bool(LABEL.search(text))
-    return n_end >= 0.06 * n or bool(LABEL.search(text))
+    return n_end >= 0.06 * measure * n or bool(LABEL.search(text))
 
 
-def judge_text(text: str | None, char_limit, byte_limit, table: np.ndarray, coder: _Coder, buckets: int, residue: Index | None = None, n_texts: int = 0) -> str | None:
+def judge_text(text: str | None, char_limit, byte_limit, table: np.ndarray, coder: _Coder, buckets: int, residue: Index | None = None, n_texts: int = 0, open_share: float | None = None) -> str | None:
     """Why a text counts as cut, or None. Null and blank texts are not cut."""
     if not text or not text.strip():
         return None
+    what = unclosed(text.rstrip()) if _PLAIN.search(text) else None
+    if what:
+        return what
     known = _known_cut(text, char_limit, byte_limit)
     if known:
         return known
@@ -291,10 +313,7 @@ def judge_text(text: str | None, char_limit, byte_limit, table: np.ndarray, code
         bare = bare[: tag.start()].rstrip()
     if not bare:
         return None
-    what = unclosed(text.rstrip()) if _PLAIN.search(text) else None
-    if what:
-        return what
-    if CLOSED.search(bare[-40:]) or _whole(bare, table, coder, buckets, n_texts):
+    if CLOSED.search(bare[-40:]) or _whole(bare, table, coder, buckets, n_texts, open_share):
         return None
     # the rest of a publishing system's message is complete as it stands
     return None if residue is not None and residue.match(re.split(r"(?<=[.!?])\s+|: ", bare)[-1]) else "unfinished"
@@ -320,7 +339,7 @@ def find_truncated(df: DataFrame, key: str, text: str, source: str, buckets: int
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, coder, messages = shared.value, _Coder(), Index()
         for pdf in batches:
-            found = ((k, s, judge_text(t, c, b, own, coder, buckets, messages, n_texts)) for k, s, t, c, b in zip(pdf["k"], pdf["source"], pdf["t"], *_limits(pdf)))
+            found = ((k, s, judge_text(t, c, b, own, coder, buckets, messages, n_texts, o)) for k, s, t, c, b, o in zip(pdf["k"], pdf["source"], pdf["t"], *_limits(pdf), pdf["open_share"]))
             yield pd.DataFrame([r for r in found if r[2]], columns=["k", "source", "reason"])
 
     got = work.mapInPandas(judge, f"k {kind}, source string, reason string")
