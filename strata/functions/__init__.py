@@ -1 +1 @@
-
+"""Column functions over texts and addresses."""
