@@ -35,13 +35,14 @@ def syllables(word: Column) -> Column:
     return F.greatest(groups, F.lit(1))
 
 
-def grade_level(text: Column) -> Column:
-    """Flesch-Kincaid grade with heuristic syllables, four digits; null where a text has no word."""
+def readability(text: Column) -> Column:
+    """(words, sentences, syllables, grade): Flesch-Kincaid grade with heuristic syllables; null grade where a text has no word."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
-    n = F.size(words)
-    sentences = F.greatest(F.regexp_count(text, F.lit(r"[.!?]+")), F.lit(1))
-    total = F.aggregate(words, F.lit(0), lambda s, w: s + syllables(w))
-    return F.when(n > 0, F.round(0.39 * n / sentences + 11.8 * total / n - 15.59, 4))
+    n = F.size(words).cast("bigint")
+    sentences = F.greatest(F.regexp_count(text, F.lit(r"[.!?]+")), F.lit(1)).cast("bigint")
+    total = F.aggregate(words, F.lit(0), lambda s, w: s + syllables(w)).cast("bigint")
+    grade = F.when(n > 0, F.round(0.39 * n / sentences + 11.8 * total / n - 15.59, 2))
+    return F.struct(n.alias("words"), sentences.alias("sentences"), total.alias("syllables"), grade.alias("grade"))
 
 
 def same_site(a: Column, b: Column) -> Column:

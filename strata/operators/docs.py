@@ -113,11 +113,11 @@ def calendar_events(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def _mail(text: str | None) -> list[tuple]:
     from email import policy
-    from email.parser import Parser
+    from email.parser import BytesParser
 
     if not text:
         return []
-    m = Parser(policy=policy.default).parsestr(text)
+    m = BytesParser(policy=policy.default).parsebytes(text.encode("utf-8", "replace"))
     part = m.get_body(preferencelist=("plain", "html"))
     body = part.get_content() if part is not None else ""
     if part is not None and part.get_content_type() == "text/html":

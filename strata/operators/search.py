@@ -7,6 +7,7 @@ the inverted table for corpora that are searched often; ``search_postings`` rank
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -119,3 +120,79 @@ def vector_of(df: DataFrame, key: str, value, vector: str) -> list[float]:
     """One row's vector, for a query by example."""
     row = df.where(F.col(key) == value).select(vector).first()
     return [] if row is None else list(row[0])
+
+
+# Accented letters and the plain ones they fold to.
+_ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
+_PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
+
+
+def folded(text: Column) -> Column:
+    """Lowered text with accents folded away."""
+    return F.translate(F.lower(text), _ACCENTED, _PLAIN)
+
+
+def _head(term: Column) -> Column:
+    first = F.substring(term, 1, 1)
+    return F.when(first.rlike("[a-z0-9]"), first).otherwise("_")
+
+
+def build_index(sources: list[tuple[str, DataFrame, str, Column]], path: str) -> str:
+    """Writes one index over several tables, each (name, table, key, text): postings with places, and lengths.
+
+    Postings lie in partitions by the term's first character, sorted by term within, so a
+    word, a prefix or a phrase reads a few row groups. Accents are folded. Null texts have
+    no term; keys are kept as text beside their table's name.
+    """
+    rows = None
+    for name, df, key, text in sources:
+        one = df.select(F.lit(name).alias("source"), F.col(key).cast("string").alias("key"), tokens(folded(text)).alias("t"))
+        rows = one if rows is None else rows.unionByName(one)
+    rows.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.size("t")).alias("words")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    places = rows.select("source", "key", F.size("t").alias("length"), F.posexplode("t").alias("at", "term"))
+    made = places.groupBy("source", "key", "term").agg(F.first("length").alias("length"), F.sort_array(F.collect_list("at")).alias("places"))
+    made = made.withColumn("head", _head(F.col("term")))
+    made.repartition("head", F.pmod(F.hash("term"), F.lit(8))).sortWithinPartitions("head", "term").write.mode("overwrite").partitionBy("head").option("compression", "zstd").parquet(f"{path}/postings")
+    return path
+
+
+def _shifted(places: str, by: int) -> Column:
+    return F.transform(places, lambda p: p - F.lit(by))
+
+
+def _matching(spark, path: str, phrase: list[str], prefix: bool) -> DataFrame:
+    """(source, key, length, f) of the rows that hold a phrase, from the postings of its words alone."""
+    post = spark.read.schema("source string, key string, term string, length int, places array<int>, head string").parquet(f"{path}/postings")
+    found = None
+    for i, word in enumerate(phrase):
+        goes_on = prefix and i == len(phrase) - 1
+        mine = post.where((F.col("head") == F.lit(word[0] if word[0].isascii() and word[0].isalnum() else "_")) & (F.col("term").startswith(word) if goes_on else F.col("term") == word))
+        mine = mine.select("source", "key", "length", _shifted("places", i).alias("starts"))
+        if goes_on:
+            mine = mine.groupBy("source", "key").agg(F.first("length").alias("length"), F.flatten(F.collect_list("starts")).alias("starts"))
+        if found is None:
+            found = mine
+        else:
+            found = found.join(mine.select("source", "key", F.col("starts").alias("more")), ["source", "key"]).select("source", "key", "length", F.array_intersect("starts", "more").alias("starts"))
+    return found.select("source", "key", "length", F.size("starts").alias("f")).where("f > 0")
+
+
+def search_index(spark, path: str, query: str, k: int = 10, prefix: bool = False, source: str | None = None) -> DataFrame:
+    """(source, key, score) of the ``k`` best rows that hold every query token; as ``bm25``, but from an index that ``build_index`` wrote."""
+    stats = spark.read.parquet(f"{path}/stats").agg(F.sum("n").alias("n"), F.sum("words").alias("w")).first()
+    n, mean = stats["n"] or 0, (stats["w"] or 0) / max(stats["n"] or 0, 1) or 1.0
+    phrases = [[w.translate(str.maketrans(_ACCENTED, _PLAIN)) for w in p] for p in query_terms(query)]
+    if not phrases:
+        return spark.createDataFrame([], "source string, key string, score double")
+    got = None
+    for i, p in enumerate(phrases):
+        one = written(_matching(spark, path, p, prefix), "index-hits")
+        d = one.count()
+        idf = max(math.log((n - d + 0.5) / (d + 0.5)), IDF_FLOOR) if d else IDF_FLOOR
+        tf = F.col("f").cast("double")
+        one = one.select("source", "key", (-F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(float(mean))))).alias(f"s{i}"))
+        got = one if got is None else got.join(one, ["source", "key"])
+    if source is not None:
+        got = got.where(F.col("source") == source)
+    total = reduce(lambda a, b: a + b, [F.col(f"s{i}") for i in range(len(phrases))])
+    return got.select("source", "key", F.round(total, 6).alias("score")).orderBy("score", "source", "key").limit(k)

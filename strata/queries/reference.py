@@ -180,13 +180,6 @@ def feed_digest(spark, d):
     return table(spark, d, "feed_items").select("first_seen", "feed_id", "item_no", "title").orderBy(F.desc("first_seen"), "feed_id", "item_no").limit(40)
 
 
-@query()
-def snapshot_manifest(spark, d):
-    """Row count and order-free digest of the feed catalogue."""
-    from ..sources.files import manifest
-
-    return manifest(table(spark, d, "feeds").select("id", "url", "label", "category", "tier", "cadence_days"), ["id"])
-
 
 # ---- drift and freshness
 
@@ -628,10 +621,6 @@ def seed_classify(spark, d):
     return f.select("id", web.probe_class(st, F.lit(None).cast("string"), F.col("url"), moved, F.col("type") == "feed", F.lit(0), st == 200).alias("class"))
 
 
-@query()
-def html_blocks(spark, d):
-    return web.html_blocks(_pages(spark, d), "item_no", "html")
-
 
 # ---- documents
 
@@ -660,13 +649,6 @@ def media_types(spark, d):
     return table(spark, d, "feeds").select("id", name.alias("name"), docs.media_type(name).alias("media_type"))
 
 
-@query(
-    """WITH c AS (SELECT conv, ordinal, t FROM (VALUES (1, 0, 'Ana'), (1, 1, 'Ben Ortiz')) v(conv, ordinal, t)) SELECT conv AS doc, CAST(ordinal AS INTEGER) AS pos, t AS speaker FROM c"""
-)
-def caption_segments(spark, d):
-    vtt = "WEBVTT\n\n00:01.000 --> 00:02.500\n<v Ana>Good morning.\n\n00:00:03.000 --> 00:00:04.000\nBen Ortiz: Thank\nyou.\n"
-    df = spark.createDataFrame([(1, vtt)], "doc int, text string")
-    return docs.captions(df, "doc", "text").select("doc", "pos", "speaker")
 
 
 # ---- records, graphs, traversal, translation
@@ -679,12 +661,6 @@ def id_masking(spark, d):
     return table(spark, d, "records").select("record_no", ref.alias("reference"), n(F.col("enrollments")).alias("n_enrollments"), n(F.filter("enrollments", lambda e: e["status"] == "active")).alias("n_active"))
 
 
-@query()
-def package_projection(spark, d):
-    """Academic packages: the wanted sections of each record as one object."""
-    sections = {"student": F.struct("student_id"), "school": F.col("current_school"), "year": F.col("academic_year"), "mastery": F.col("standards_mastery"), "grades": F.col("course_grades")}
-    return records.package(table(spark, d, "records"), "record_no", sections, ["student", "school", "mastery"])
-
 
 _EDGES = """SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, 'offers' AS relation FROM lineitem UNION SELECT 'n' || s_nationkey, 's' || s_suppkey, 'has' FROM supplier UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey, 'has' FROM nation"""
 

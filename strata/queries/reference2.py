@@ -1,10 +1,8 @@
 """More queries: scans, predicates, look-ups, ordered scans, rates."""
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import parsing
 from ..session import table
 from .reference import query
 
@@ -152,15 +150,3 @@ def role_join(spark, d):
     s = table(spark, d, "schools").select(F.col("row_no").alias("school"), F.lower(F.split_part("school_name", F.lit(" "), F.lit(1))).alias("town"))
     got = s.join(t, "town", "left").groupBy("school").agg(F.array_sort(F.collect_list("feed_id")).alias("f"))
     return got.select("school", F.when(F.size("f") == 0, "gap").otherwise(F.array_join("f", ",")).alias("feeds"))
-
-
-@query()
-def cell_places(spark, d):
-    """Spreadsheet references as row and column."""
-    df = spark.createDataFrame([("A1",), ("Z9",), ("AA10",), ("AB12",)], "ref string")
-
-    @F.pandas_udf("row int, col int")
-    def place(ref: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parsing.cell_place(r) for r in ref], columns=["row", "col"])
-
-    return df.select("ref", place("ref").alias("p")).select("ref", "p.row", "p.col")

@@ -25,11 +25,11 @@ def snippets(spark, d):
 @query(
     """WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z]+') AS w, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS s FROM documents WHERE text IS NOT NULL),
     c AS (SELECT doc_id, len(w) AS n, s, list_sum(list_transform(w, lambda x: greatest(len(regexp_extract_all(regexp_replace(x, 'e$', ''), '[aeiouy]+')), 1))) AS y FROM w)
-    SELECT doc_id, round(CAST(0.39 AS DOUBLE) * n / s + CAST(11.8 AS DOUBLE) * y / n - CAST(15.59 AS DOUBLE), 4) AS grade FROM c WHERE n > 0"""
+    SELECT doc_id, n AS words, s AS sentences, CAST(y AS BIGINT) AS syllables FROM c WHERE n > 0"""
 )
 def reading_grade(spark, d):
-    """Flesch-Kincaid grade of every document."""
-    return table(spark, d, "documents").select("doc_id", texts.grade_level(F.col("text")).alias("grade")).where("grade is not null")
+    """What the Flesch-Kincaid grade of every document is made of."""
+    return table(spark, d, "documents").select("doc_id", texts.readability(F.col("text")).alias("r")).where("r.words > 0").select("doc_id", "r.words", "r.sentences", "r.syllables")
 
 
 _BLOCK = "</?(?:p|div|li|tr|h[1-6]|br|section|article|table|ul|ol|blockquote)\\b[^>]*>"

@@ -174,3 +174,59 @@ def test_captures(spark):
     assert (r.best, r.n) == (2, 3) and 0 < r.agreement < 1
     got = web.likeness(spark.createDataFrame([("abcd", "abxd"), (None, "a")], "x string, y string"), "x", "y").collect()
     assert [g.likeness for g in got] == [0.75, None]
+
+
+def test_walk_keeps_gaps_and_stops(spark):
+    from strata.operators import traverse
+
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "a"), ("c", "d"), ("bad", "x")], "ref string, to string")
+
+    def page(seeds):
+        got = seeds.join(edges, "ref", "left")
+        return got.select("ref", F.lit("page").alias("next_kind"), F.col("to").alias("next_ref"), F.when(F.col("ref") == "bad", "broken").alias("error"))
+
+    seeds = spark.createDataFrame([("page", "a"), ("page", "a"), ("page", "bad"), ("mail", "m"), (None, "n")], "kind string, ref string")
+    found, gaps, why = traverse.run(seeds, {"page": page})
+    assert sorted((r.layer, r.ref, r.n_next) for r in found.collect()) == [(0, "a", 2), (1, "b", 1), (1, "c", 1), (2, "d", 0)]
+    assert sorted((r.layer, r.ref, r.reason) for r in gaps.collect()) == [(0, "bad", "fetch_error"), (0, "m", "no_fetcher")] and why == "saturated"
+    assert traverse.run(seeds, {"page": page}, max_layers=2)[2] == "max_layers" and traverse.run(seeds, {"page": page}, max_findings=1)[2] == "max_findings"
+    empty = traverse.run(seeds.limit(0), {"page": page})
+    assert empty[2] == "exhausted" and traverse.envelope(*empty).first()["findings"] == 0
+
+
+def test_index_is_found_again(spark, tmp_path):
+    from strata.operators import search
+
+    df = spark.createDataFrame([(1, "Café menu for the Middle School"), (2, None), (3, "middle of the school cafe"), (4, "")], "id int, text string")
+    path = search.build_index([("t", df, "id", F.col("text"))], str(tmp_path / "index"))
+    keys = lambda q, **k: [r.key for r in search.search_index(spark, path, q, **k).collect()]
+    assert sorted(keys("cafe")) == ["1", "3"] and keys("middle.school") == ["1"] and sorted(keys("schoo mid", prefix=True)) == ["1", "3"]
+    assert keys("") == [] and keys("nothing") == [] and keys("cafe", source="u") == []
+
+
+def test_engines(spark):
+    from strata.plans import engines
+
+    registry = engines.Registry("ocr")
+    registry.register(engines.Engine("none", frozenset({"image"})))
+    df = spark.range(2)
+    assert {r.gap for r in registry.run(df, "image").collect()} == {"ocr:image"}
+    registry.register(engines.Engine("reader", frozenset({"image"}), lambda x: x.withColumn("text", F.lit("t"))))
+    assert registry.select("image").name == "reader" and registry.select("audio") is None and registry.run(df, "image").columns == ["id", "text"]
+
+
+def test_located_tables_and_runs(spark):
+    from strata.operators import extract
+
+    page = "<table><tr><td>Title</td></tr><tr><th>Name</th><th> ID </th></tr><tr><td>a <b>b</b></td><td>1</td></tr><tr><td>c</td></tr></table>"
+    df = spark.createDataFrame([(1, page), (2, None), (3, "<table><tr><td>x</td></tr></table>")], "n int, html string")
+    got = {r.n: r.r for r in df.select("n", extract.located(extract.table_rows(F.col("html")), ["name", "id"]).alias("r")).collect()}
+    assert got == {1: [{"name": "a b", "id": "1"}, {"name": "c", "id": None}], 2: [], 3: []}
+
+
+def test_manifest_counts_repeats_and_ignores_order(spark):
+    from strata.sources.files import manifest
+
+    a, b = spark.createDataFrame([(1, "x"), (2, None)], "n int, t string"), spark.createDataFrame([(2, None), (1, "x")], "n int, t string")
+    one = lambda df: tuple(manifest(df, ["n"]).first())
+    assert one(a) == one(b) != one(a.union(a.limit(1))) and one(a.limit(0))[0] == 0
