@@ -26,4 +26,11 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("cut_share", F.round(F.col("n_cut") / F.greatest("n_items", F.lit(1)), 6))
 
 
-QUERIES = {"p5_found": p5_found, "p5_rates": p5_rates}
+def p5_ellipsis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries that end in an ellipsis, as far as they are found to be cut."""
+    ends = table(spark, sf_dir, "feed_items").where(r"summary rlike '(?:\\.\\.\\.|…)\\s*$'").select("item_no")
+    return ends.join(p5_found(spark, sf_dir), "item_no", "left_semi")
+
+
+ORACLE = {"p5_ellipsis": "SELECT item_no FROM feed_items WHERE regexp_matches(summary, '(?:\\.\\.\\.|…)\\s*$')"}
+QUERIES = {"p5_found": p5_found, "p5_rates": p5_rates, "p5_ellipsis": p5_ellipsis}
