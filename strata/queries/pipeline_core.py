@@ -86,5 +86,24 @@ def p4_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("feed_id", "reading").agg(F.count("*").alias("n"), F.min("utc_us").alias("first_us"), F.max("utc_us").alias("last_us"))
 
 
+def p3_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The children of the columns that have a schema, as p3_found has them."""
+    return p3_found(spark, sf_dir).where("origin = 'schools' or (origin = 'records' and child <> 'assignment')")
+
+
+_BLANK = "nullif(regexp_replace({}, '^\\s+|\\s+$', '', 'g'), '')"
+_STUDENT = f"SELECT 'records' AS origin, record_no AS row_no, student_id AS parent_key, {{}} AS child, {{}} AS child_key FROM (SELECT record_no, student_id, {{}} AS x FROM records WHERE {_BLANK.format('student_id')} IS NOT NULL) WHERE {{}} IS NOT NULL"
+ORACLE = {
+    "p3_typed": " UNION ".join(
+        [
+            _STUDENT.format("'enrollment'", "x.enrollment_id", "unnest(enrollments)", _BLANK.format("x.enrollment_id")),
+            _STUDENT.format("'mastery'", "x.standard.standard_code", "unnest(standards_mastery)", _BLANK.format("x.standard.standard_code")),
+            _STUDENT.format("'status'", "x.status", "lifecycle", _BLANK.format("x.status")),
+            f"SELECT 'schools', row_no, msid, 'program', {_BLANK.format('x.program_name')} FROM (SELECT row_no, msid, unnest(programs) AS x FROM schools WHERE {_BLANK.format('msid')} IS NOT NULL) WHERE {_BLANK.format('x.program_name')} IS NOT NULL",
+        ]
+    )
+}
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_entity_counts": p3_entity_counts, "p4_found": p4_found, "p4_formats": p4_formats}
+    return {"p3_found": p3_found, "p3_typed": p3_typed, "p3_entity_counts": p3_entity_counts, "p4_found": p4_found, "p4_formats": p4_formats}
