@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import discard, written
+
 
 def normalised(name: Column, drop: list[str]) -> Column:
     """Lowered name without apostrophes, punctuation and the given generic words."""
@@ -101,3 +103,36 @@ def merge(df: DataFrame, block: str, order: str, key_id: str, key_name: str, fie
 
     work = df.select(F.col(block), F.col(order), *[F.col(c).cast("string").alias(c) for c in (key_id, key_name, *fields, source)])
     return work.repartition(block).sortWithinPartitions(block, order).mapInPandas(fold, schema)
+
+
+def components(df: DataFrame, row: str, keys: list[str]) -> DataFrame:
+    """(row, entity): rows that share any key value are one entity, named by its smallest row, over any number of steps.
+
+    Each round takes the smallest label of every key value and of every row's key values
+    (two aggregations, which combine before the shuffle, and no pairs); labels are cut with
+    a written table and rounds go on until nothing changes. Null and blank keys link nothing.
+    """
+    told = F.explode(F.array_compact(F.array(*[F.when(F.trim(F.col(k).cast("string")) != "", F.concat(F.lit(f"{i}|"), F.lower(F.trim(F.col(k).cast("string"))))) for i, k in enumerate(keys)])))
+    links = written(df.select(F.col(row).alias("r"), told.alias("key")).distinct(), "entity-keys")
+    labels = written(df.select(F.col(row).alias("r"), F.col(row).alias("label")).distinct(), "entity-labels")
+    while True:
+        low = links.join(labels, "r").groupBy("key").agg(F.min("label").alias("low"))
+        near = links.join(low, "key").groupBy("r").agg(F.min("low").alias("near"))
+        step = labels.join(near, "r", "left").select("r", "label", F.least("label", "near").alias("new"))
+        # a label is followed to its own label, so chains halve
+        jump = labels.select(F.col("r").alias("new"), F.col("label").alias("further"))
+        step = written(step.join(jump, "new", "left").select("r", F.least("new", "further").alias("label"), (F.least("new", "further") < F.col("label")).alias("moved")), "entity-labels")
+        settled = step.where("moved").isEmpty()
+        discard(labels)
+        if settled:
+            return step.select(F.col("r").alias(row), F.col("label").alias("entity"))
+        labels = written(step.select("r", "label"), "entity-labels")
+        discard(step)
+
+
+def merged(df: DataFrame, row: str, keys: list[str], fields: list[str], source: str) -> DataFrame:
+    """One row for each entity of ``components``: the first filled value of each key and field by row, sources united, rows counted."""
+    filled = lambda c: F.trim(F.col(c).cast("string")) != ""
+    first = [F.min_by(F.when(filled(c), F.col(c)), F.when(filled(c), F.col(row))).alias(c) for c in (*keys, *fields)]
+    got = df.join(components(df, row, keys), row).groupBy("entity")
+    return got.agg(*first, F.array_sort(F.collect_set(source)).alias("sources"), F.count("*").alias("n_rows"))

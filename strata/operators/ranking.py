@@ -12,6 +12,10 @@ def cue_scores(texts: DataFrame, key: str, text: Column, cues: list[tuple[str, s
     ``cues`` is (label, cue, weight): a short list, so it becomes one expression for each
     label and no join. Cues are met inside words too. Labels without hit score 0.
     """
+    return texts.select(key, F.explode(_scored(text, cues)).alias("x")).select(key, "x.label", "x.pos", "x.score")
+
+
+def _scored(text: Column, cues: list[tuple[str, str, int]]) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     labels = list(dict.fromkeys(c[0] for c in cues))
     parts = []
@@ -20,12 +24,22 @@ def cue_scores(texts: DataFrame, key: str, text: Column, cues: list[tuple[str, s
         for _, cue, weight in [c for c in cues if c[0] == label]:
             total = total + F.when(low.contains(cue.lower()), weight).otherwise(0)
         parts.append(F.struct(F.lit(label).alias("label"), F.lit(i).alias("pos"), total.alias("score")))
-    return texts.select(key, F.explode(F.array(*parts)).alias("x")).select(key, "x.label", "x.pos", "x.score")
+    return F.array(*parts)
+
+
+def routed(texts: DataFrame, key: str, text: Column, cues: list[tuple[str, str, int]]) -> DataFrame:
+    """``top_two`` of ``cue_scores`` within each row: nothing is shuffled."""
+    best = F.array_sort(F.transform(_scored(text, cues), lambda x: F.struct((-x["score"]).alias("s"), x["pos"].alias("pos"), x["label"].alias("label"))))
+    return _decided(texts.select(key, F.slice(best, 1, 2).alias("b")), key)
 
 
 def top_two(scores: DataFrame, key: str) -> DataFrame:
     """(key, first, first_score, second, second_score, margin, confidence): ties go to the earlier label."""
     best = scores.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pos", "label"))), 1, 2).alias("b"))
+    return _decided(best, key)
+
+
+def _decided(best: DataFrame, key: str) -> DataFrame:
     a, b = F.element_at("b", 1), F.try_element_at(F.col("b"), F.lit(2))
     got = best.select(key, a["label"].alias("first"), (-a["s"]).alias("first_score"), b["label"].alias("second"), F.coalesce(-b["s"], F.lit(0)).alias("second_score"))
     margin = F.col("first_score") - F.col("second_score")

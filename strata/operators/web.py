@@ -55,14 +55,14 @@ def structured_data(html: Column) -> Column:
     )
 
 
-def refusal(status: Column, headers: Column, body: Column, signatures: list[tuple[str, str, str]], captchas: list[tuple[str, str]]) -> Column:
-    """Who refused a response and how: struct of vendor, kind, confidence, retry.
+def refusal(status: Column, headers: Column, body: Column, signatures: list[tuple[str, str, str]], captchas: list[tuple[str, str]], most: int = 200_000) -> Column:
+    """Who refused a response and how: struct of vendor, kind, confidence, retry. Notices stand at a body's start; its first ``most`` characters are read.
 
     ``signatures`` is (vendor, where, mark) in order of precedence, where is 'header' (a
     line of the lowered header blob starts with it), 'cookie' (occurs in the blob) or
     'body'; ``captchas`` is (name, mark in the body).
     """
-    blob, low = F.lower(F.coalesce(headers, F.lit(""))), F.lower(F.substring(F.coalesce(body, F.lit("")), 1, 200_000))
+    blob, low = F.lower(F.coalesce(headers, F.lit(""))), F.lower(F.substring(F.coalesce(body, F.lit("")), 1, most))
 
     def met(where: str, mark: str) -> Column:
         if where == "header":

@@ -358,11 +358,19 @@ def match_rate(spark, d):
     return both.select("matched", "total", F.round(F.col("matched") / F.greatest("total", F.lit(1)), 6).alias("rate"))
 
 
-@query()
+_ENTITIES = """WITH RECURSIVE k AS (SELECT row_no, '0|' || lower(trim(msid)) AS key FROM schools WHERE trim(msid) <> '' UNION SELECT row_no, '1|' || lower(trim(school_name)) FROM schools WHERE trim(school_name) <> ''),
+    e AS (SELECT DISTINCT a.row_no AS a, b.row_no AS b FROM k a JOIN k b USING (key)), r AS (SELECT row_no AS a, row_no AS b FROM schools UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS row_no, min(b) AS entity FROM r GROUP BY a)"""
+
+
+@query(
+    _ENTITIES
+    + """ SELECT entity, arg_min(msid, row_no) FILTER (WHERE trim(msid) <> '') AS msid, arg_min(school_name, row_no) FILTER (WHERE trim(school_name) <> '') AS school_name, arg_min(type, row_no) FILTER (WHERE trim(type) <> '') AS type, arg_min(grades, row_no) FILTER (WHERE trim(grades) <> '') AS grades,
+    string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(*) AS n_rows FROM schools JOIN c USING (row_no) GROUP BY entity"""
+)
 def entity_merge(spark, d):
-    """School rows folded into schools within a district, by number, else by name."""
-    s = table(spark, d, "schools").withColumn("district", F.coalesce("district_number", F.lit("")))
-    return entity.merge(s, "district", "row_no", "msid", "school_name", ["type", "grades", "locale", "status"], "source")
+    """School rows folded into schools over number and name, across districts and any number of steps."""
+    got = entity.merged(table(spark, d, "schools"), "row_no", ["msid", "school_name"], ["type", "grades"], "source")
+    return got.withColumn("sources", F.when(F.size("sources") > 0, F.array_join("sources", ",")))
 
 
 # ---- cues, winners, overlays, chains
@@ -396,7 +404,7 @@ def cue_scores(spark, d):
 )
 def route_top2(spark, d):
     """Best and second label of every document with margin and confidence."""
-    return ranking.top_two(ranking.cue_scores(table(spark, d, "documents"), "doc_id", F.col("text"), CUES), "doc_id")
+    return ranking.routed(table(spark, d, "documents"), "doc_id", F.col("text"), CUES)
 
 
 @query(
@@ -520,25 +528,22 @@ def ledger_rates(spark, d):
     return table(spark, d, "doc_labels").groupBy("rater").agg(F.count("*").alias("n"), ok.alias("approved"), F.round(ok / F.greatest(F.count("*"), F.lit(1)), 6).alias("rate"))
 
 
-_PII = "(SELECT item_no, concat_ws(' ', title, summary) AS x FROM feed_items)"
+_PII = "(SELECT item_no, regexp_replace(concat_ws(' ', title, summary), '\\b(\\d{3}-\\d{4})\\b', '407-\\1', 'g') AS x FROM feed_items)"
+
+
+_PHONES = "list_filter(regexp_extract_all(x, '\\b\\d{3}[-.]\\d{3}[-.]\\d{4}\\b'), lambda p: NOT starts_with(p, '555'))"
 
 
 @query(
-    f"""SELECT item_no, 'phone' AS rule, regexp_extract(x, '\\b\\d{{3}}-\\d{{4}}\\b') AS value FROM {_PII} WHERE regexp_matches(x, '\\b\\d{{3}}-\\d{{4}}\\b') AND NOT regexp_matches(x, '\\b555-\\d{{4}}\\b')
-    UNION ALL SELECT item_no, 'identity', regexp_extract(x, '\\b\\d{{3}}-\\d{{2}}-\\d{{4}}\\b') FROM {_PII} WHERE regexp_matches(x, '\\b\\d{{3}}-\\d{{2}}-\\d{{4}}\\b')
-    UNION ALL SELECT item_no, 'placeholder', regexp_extract(x, '\\b555-\\d{{4}}\\b') FROM {_PII} WHERE regexp_matches(x, '\\b555-\\d{{4}}\\b')"""
+    f"""SELECT item_no, 'no_real_pii' AS rule FROM {_PII} WHERE regexp_matches(x, '\\b\\d{{3}}-\\d{{2}}-\\d{{4}}\\b') UNION ALL SELECT item_no, 'placeholder_pii' FROM {_PII} WHERE len({_PHONES}) > 0"""
 )
 def pii_rules(spark, d):
-    """Items with a phone number that is no placeholder, an identity number, or a placeholder; the first one is named."""
-    t = table(spark, d, "feed_items").select("item_no", F.concat_ws(" ", "title", "summary").alias("x"))
-    x = F.col("x")
-
-    def rule(name: str, pattern: str, unless: str | None = None) -> F.Column:
-        hit = x.rlike(pattern) if unless is None else x.rlike(pattern) & ~x.rlike(unless)
-        return F.when(hit, F.struct(F.lit(name).alias("rule"), F.regexp_extract(x, pattern, 0).alias("value")))
+    """Items that break a rule on personal data: identity numbers block, phone numbers that are no placeholders warn.
 
-    rules = [rule("phone", r"\b\d{3}-\d{4}\b", r"\b555-\d{4}\b"), rule("identity", r"\b\d{3}-\d{2}-\d{4}\b"), rule("placeholder", r"\b555-\d{4}\b")]
-    return t.select("item_no", F.explode(F.array_compact(F.array(*rules))).alias("r")).select("item_no", "r.rule", "r.value")
+    The texts write local numbers, which get an area code here.
+    """
+    x = F.regexp_replace(F.concat_ws(" ", "title", "summary"), r"\b(\d{3}-\d{4})\b", "407-$1")
+    return table(spark, d, "feed_items").select("item_no", F.explode(records.rule_failures(x)).alias("rule"))
 
 
 # ---- web

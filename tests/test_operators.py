@@ -230,3 +230,23 @@ def test_manifest_counts_repeats_and_ignores_order(spark):
     a, b = spark.createDataFrame([(1, "x"), (2, None)], "n int, t string"), spark.createDataFrame([(2, None), (1, "x")], "n int, t string")
     one = lambda df: tuple(manifest(df, ["n"]).first())
     assert one(a) == one(b) != one(a.union(a.limit(1))) and one(a.limit(0))[0] == 0
+
+
+def test_entities_join_over_any_key_and_number_of_steps(spark):
+    """Chains over id and name, blanks that link nothing, hot keys, all across blocks."""
+    data = [(1, "A", None, None), (2, "a ", "x", "f"), (3, None, "X", "g"), (4, "", "", "h"), (5, None, None, "i"), (6, "B", "y", ""), (7, "C", "y", "k"), (8, "C", "z", None), (9, None, "z", "l")]
+    data += [(100 + i, f"k{i // 2}", f"n{(i + 1) // 2}", None) for i in range(41)] + [(1000 + i, "hot", None, str(i)) for i in range(200)]
+    df = spark.createDataFrame(data, "n int, id string, name string, f string").withColumn("src", F.lit("s"))
+    got = {r.n: r.entity for r in entity.components(df, "n", ["id", "name"]).collect()}
+    assert [got[i] for i in range(1, 10)] == [1, 1, 1, 4, 5, 6, 6, 6, 6]
+    assert {got[100 + i] for i in range(41)} == {100} and {got[1000 + i] for i in range(200)} == {1000}
+    whole = {r.entity: (r.id, r.name, r.f, r.n_rows) for r in entity.merged(df, "n", ["id", "name"], ["f"], "src").collect()}
+    assert whole[1] == ("A", "x", "f", 3) and whole[6] == ("B", "y", "k", 4) and whole[4] == (None, None, "h", 1) and whole[1000][3] == 200
+    assert entity.merged(df.limit(0), "n", ["id", "name"], ["f"], "src").count() == 0
+
+
+def test_routing_in_the_row_equals_routing_by_rows(spark):
+    df = spark.createDataFrame([(1, "erosion and bus"), (2, None), (3, ""), (4, "bus bus vote"), (4, "bus bus vote")], "n int, t string")
+    cues = [("a", "erosion", 2), ("b", "bus", 1), ("b", "vote", 1)]
+    one = sorted(map(tuple, ranking.routed(df, "n", F.col("t"), cues).distinct().collect()))
+    assert one == sorted(map(tuple, ranking.top_two(ranking.cue_scores(df.distinct(), "n", F.col("t"), cues), "n").collect()))

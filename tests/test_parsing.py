@@ -39,7 +39,8 @@ def test_containers():
     inner = zipped(a_txt="x")
     outer = zipped(inner_zip=inner, b_txt="y")
     assert [n for n, _ in parsing.children(outer, "o")] == ["o/inner_zip", "o/inner_zip/a_txt", "o/b_txt"]
-    assert [n for n, _ in parsing.children(outer, "o", depth=1)] == ["o/inner_zip", "o/b_txt"]
+    assert [n for n, _ in parsing.children(outer, "o", depth=1)] == ["o/inner_zip", "o/inner_zip/#gap: deeper than the levels asked for", "o/b_txt"]
+    assert parsing.children(outer, "o", most=1)[-1] == ("o/#gap: 1 of 2 left out", b"")
     assert parsing.children(b"no zip", "n") == []
     assert parsing.structure_findings(b"%PDF-1.4 xref", "application/pdf") == ["no_eof"]
     assert parsing.structure_findings(None, "application/pdf") == ["empty"]
