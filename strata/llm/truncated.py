@@ -3,14 +3,15 @@
 A text's end is read by a stack automaton over quotes, brackets, markup and escapes first,
 then by its marks of continuation, by the length limit its source shows, and, where it
 merely has no closing punctuation, by how often the corpus ends a text or sentence after the
-same words, held against how often the source leaves whole texts without terminator. The
-corpus counts live in a hashed table of fixed size.
+same words, held against how often the source leaves whole texts without terminator. Only
+the contexts that open ends ask for are counted, exactly and over all rows; a bitmap of
+fixed size keeps most others out of the shuffle.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -86,7 +87,7 @@ def unclosed(text: str) -> str | None:
 
 
 def _hash(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "replace")) | 1
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big") | 1
 
 
 class _Coder(dict):
@@ -115,19 +116,19 @@ class _Coder(dict):
         return got
 
 
-def _keys(own, kind, before, before2, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the contexts of one, two and three words that end here."""
+def _keys(own, before, before2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of 64 bits of the contexts of one, two and three words that end here."""
     own, kind1, kind2 = (np.asarray(x, dtype=np.uint64) for x in (own, before, before2))
-    m = np.uint64(buckets - 1)
     with np.errstate(over="ignore"):
         one = own * _P
         two = (one ^ (kind1 * _Q)) * _P
         three = (two ^ (kind2 * _P)) * _Q + np.uint64(7)
-    return tuple(((x >> np.uint64(29)) & m).astype(np.int64) for x in (one, two, three))
+    # multiplying leaves the low bits alike; the high ones are folded down
+    return tuple((x ^ (x >> np.uint64(31))).view(np.int64) for x in (one, two, three))
 
 
-def _counts(texts: list[str], coder: _Coder, buckets: int, table: np.ndarray, cut: list[bool] | None = None) -> None:
-    """Adds the texts' contexts: all, those before a sentence's end, those at a text's open end.
+def _contexts(texts: list[str], coder: _Coder, cut: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, stands before a sentence's end, stands at a text's open end) of all contexts of the texts.
 
     Of texts that are known to be ``cut`` the last word is left out, for it may be part of one, and their end is no end.
     """
@@ -148,11 +149,14 @@ def _counts(texts: list[str], coder: _Coder, buckets: int, table: np.ndarray, cu
         last.append(not e[-1] and not lost)
     own, kind, end, last = np.array(own, np.uint64), np.array(kind, np.uint64), np.array(end), np.array(last)
     real = own[2:] != 0
-    for key in _keys(own[2:], None, kind[1:-1], kind[:-2], buckets):
-        key = key[real]
-        table[0] += np.bincount(key, minlength=buckets)
-        table[1] += np.bincount(key[end[2:][real]], minlength=buckets)
-        table[2] += np.bincount(key[last[2:][real]], minlength=buckets)
+    keys = np.concatenate([x[real] for x in _keys(own[2:], kind[1:-1], kind[:-2])])
+    return keys, np.tile(end[2:][real], 3), np.tile(last[2:][real], 3)
+
+
+def _counted(keys: np.ndarray, ends: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, n, n_end, n_open), each key once."""
+    own, at = np.unique(keys, return_inverse=True)
+    return own, *(np.bincount(at, w, len(own)).astype(np.int64) for w in (None, ends.astype(float), opens.astype(float)))
 
 
 def _size(text: str) -> int:
@@ -211,15 +215,31 @@ def _limits(pdf: pd.DataFrame) -> tuple[list, list]:
     return tuple([None if x != x else int(x) for x in pdf[n].astype(float)] for n in ("char_limit", "byte_limit"))
 
 
-def context_counts(work: DataFrame, buckets: int) -> tuple[np.ndarray, int]:
-    """Context counts over all rows, in ``buckets`` hashed cells of three counters, and the number of texts.
+BITS = 1 << 25
+
+
+def _asked_bits(ends: DataFrame) -> np.ndarray:
+    """A bitmap of BITS places (4 MB, whatever the corpus holds) in which the contexts that open ends ask for are set."""
+    place = ends.select(F.explode(F.array("one", "two", "three")).alias("key")).select((F.pmod("key", F.lit(BITS)) + 1).alias("p"))
+    parts = place.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = np.zeros(BITS, bool)
+    for r in parts.toLocalIterator():
+        bits = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little").astype(bool)
+        start = (r["bucket"] - 1) * len(bits)
+        out[start : start + len(bits)] = bits[: max(0, BITS - start)]
+    return np.packbits(out, bitorder="little")
 
-    What comes to the driver and goes to the workers is bounded by ``buckets`` whatever the
-    corpus holds. Texts cut by a limit or with a mark don't count as ends.
+
+def context_counts(work: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(key, n, n_end, n_open) of the asked contexts over all rows, and the number of texts under a null key.
+
+    Counts are exact; a context that shares its place in the bitmap with an asked one is
+    counted in vain. Texts cut by a limit or with a mark don't count as ends.
     """
+    shared = work.sparkSession.sparkContext.broadcast(bits)  # BITS / 8 bytes
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, table, n = _Coder(), np.zeros((3, buckets), np.int64), 0
+        coder, asked, n = _Coder(), np.unpackbits(shared.value, bitorder="little").astype(bool), 0
         for pdf in batches:
             texts, cut = [], []
             for t, c, b in zip(pdf["t"], *_limits(pdf)):
@@ -227,19 +247,13 @@ def context_counts(work: DataFrame, buckets: int) -> tuple[np.ndarray, int]:
                     texts.append(t)
                     cut.append(_known_cut(t, c, b) is not None)
             n += len(texts)
-            _counts(texts, coder, buckets, table, cut)
-        used = np.flatnonzero(table[0])
-        yield pd.DataFrame({"a": used, "n": table[0][used], "n_end": table[1][used], "n_open": table[2][used]})
-        yield pd.DataFrame({"a": [-1], "n": [n], "n_end": [0], "n_open": [0]})
+            keys, ends, opens = _contexts(texts, coder, cut)
+            mine = asked[keys & (BITS - 1)]
+            yield pd.DataFrame(dict(zip(("key", "n", "n_end", "n_open"), _counted(keys[mine], ends[mine], opens[mine]))))
+        yield pd.DataFrame({"key": pd.array([None], "Int64"), "n": [n], "n_end": [0], "n_open": [0]})
 
-    got = work.mapInPandas(count, "a bigint, n bigint, n_end bigint, n_open bigint")
-    cells = written(got.groupBy("a").agg(*[F.sum(c).alias(c) for c in ("n", "n_end", "n_open")]), "p5-counts").toPandas()
-    texts = int(cells.loc[cells["a"] < 0, "n"].sum())
-    cells = cells[cells["a"] >= 0]
-    table = np.zeros((3, buckets), np.int32)
-    for i, c in enumerate(("n", "n_end", "n_open")):
-        table[i][cells["a"].to_numpy(np.int64)] = np.minimum(cells[c].to_numpy(np.int64), 2**31 - 1)
-    return table, texts
+    got = work.mapInPandas(count, "key bigint, n bigint, n_end bigint, n_open bigint")
+    return written(got.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "n_end", "n_open")]), "p5-counts")
 
 
 def _known_cut(text: str, char_limit: int | None, byte_limit: int | None) -> str | None:
@@ -275,55 +289,55 @@ def _measure(open_share: float | None) -> float:
     return 1.5 if open_share <= STRICT_UNDER else 0.6 if open_share >= MILD_OVER else 1.0
 
 
-def _whole(text: str, table: np.ndarray, coder: _Coder, buckets: int, n_texts: int = 0, open_share: float | None = None) -> bool:
+def _context(text: str, coder: _Coder) -> tuple[int, int, int]:
+    """Keys of the contexts of one, two and three words that a text ends with."""
+    got = [coder[w] for w in text.split()[-3:]]
+    kinds = [0, 0, *[g[1] for g in got[:-1]]]
+    return tuple(int(x[0]) for x in _keys([got[-1][0]], [kinds[-1]], [kinds[-2]]))
+
+
+def _whole(one, two, three, label: bool, n_texts: int = 0, open_share: float | None = None) -> bool:
     """Whether a text without closing punctuation still ends where the corpus ends texts or sentences.
 
-    An open end counts when a fair share of all texts ends so: parts of words, which only
-    cuts leave, grow in number with the corpus, but not in share.
+    ``one``, ``two`` and ``three`` are (n, n_end, n_open) of the contexts it ends with. An
+    open end counts when a fair share of all texts ends so: parts of words, which only cuts
+    leave, grow in number with the corpus, but not in share.
     """
     often = max(3, OPEN_SHARE * n_texts)
-    words = text.split()[-3:]
-    got = [coder[w] for w in words]
-    own = got[-1][0]
-    kinds = [0, 0, *[g[1] for g in got[:-1]]]
-    one, two, three = (int(x[0]) for x in _keys([own], None, [kinds[-1]], [kinds[-2]], buckets))
-    n, n_end, n_open = (int(table[i][one]) for i in range(3))
+    n, n_end, n_open = one
     if n - n_open < often and n_open < often:
         return False
     measure = _measure(open_share)
-    for key, share, least in ((three, 0.02 * measure, 4), (two, 0.04 * measure, 6)):
-        m, m_end, m_open = (int(table[i][key]) for i in range(3))
+    for (m, m_end, m_open), share, least in ((three, 0.02 * measure, 4), (two, 0.04 * measure, 6)):
         if m >= least:
-            return m_end >= share * m or (m_open >= often and m_open >= 0.02 * m) or bool(LABEL.search(text))
-    return n_end >= 0.06 * measure * n or bool(LABEL.search(text))
+            return m_end >= share * m or (m_open >= often and m_open >= 0.02 * m) or label
+    return n_end >= 0.06 * measure * n or label
 
 
-def judge_text(text: str | None, char_limit, byte_limit, table: np.ndarray, coder: _Coder, buckets: int, residue: Index | None = None, n_texts: int = 0, open_share: float | None = None) -> str | None:
-    """Why a text counts as cut, or None. Null and blank texts are not cut."""
+def judge_end(text: str | None, char_limit, byte_limit, residue: Index | None = None) -> tuple[str | None, str]:
+    """(why a text counts as cut by itself, '') or (None, its open end to be held against the corpus, '' if it is whole)."""
     if not text or not text.strip():
-        return None
+        return None, ""
     what = unclosed(text.rstrip()) if _PLAIN.search(text) else None
+    what = what or _known_cut(text, char_limit, byte_limit)
     if what:
-        return what
-    known = _known_cut(text, char_limit, byte_limit)
-    if known:
-        return known
+        return what, ""
     bare = text.rstrip()
     while bare.endswith(">") and (tag := _END_TAG.search(bare)):
         bare = bare[: tag.start()].rstrip()
-    if not bare:
-        return None
-    if CLOSED.search(bare[-40:]) or _whole(bare, table, coder, buckets, n_texts, open_share):
-        return None
+    if not bare or CLOSED.search(bare[-40:]):
+        return None, ""
     # the rest of a publishing system's message is complete as it stands
-    return None if residue is not None and residue.match(re.split(r"(?<=[.!?])\s+|: ", bare)[-1]) else "unfinished"
+    sentence = re.split(r"(?<=[.!?])\s+", bare)[-1]
+    whole = residue is not None and (residue.match(sentence.split(": ")[-1]) or ": " in sentence and residue.match(sentence))
+    return None, "" if whole else bare
 
 
 _END_TAG = re.compile(r"</\w+\s*>$")
 _PLAIN = re.compile(r"[(\[“«<&%\\�\ud800-\udfffÃÂâ]")
 
 
-def find_truncated(df: DataFrame, key: str, text: str, source: str, buckets: int = 1 << 20) -> DataFrame:
+def find_truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """``key``, source and reason of every text that lost its end.
 
     Null, empty and blank texts give no row; a null source is a source of its own;
@@ -332,15 +346,34 @@ def find_truncated(df: DataFrame, key: str, text: str, source: str, buckets: int
     work = df.select(F.col(key).alias("k"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     limits = written(length_limits(work.select("source", "t")), "p5-limits")
     work = work.join(limits, "source", "left")
-    table, n_texts = context_counts(work.select("t", "char_limit", "byte_limit"), buckets)
-    shared = df.sparkSession.sparkContext.broadcast(table)  # 12 bytes a bucket
     kind = dict(df.dtypes)[key]
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, coder, messages = shared.value, _Coder(), Index()
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder, messages = _Coder(), Index()
+        for pdf in batches:
+            rows = []
+            for k, s, t, c, b, o in zip(pdf["k"], pdf["source"], pdf["t"], *_limits(pdf), pdf["open_share"]):
+                why, end = judge_end(t, c, b, messages)
+                if why:
+                    rows.append((k, s, why, 0, 0, 0, False, None))
+                elif end:
+                    rows.append((k, s, None, *_context(end, coder), bool(LABEL.search(end)), o))
+            yield pd.DataFrame(rows, columns=["k", "source", "reason", "one", "two", "three", "label", "open_share"])
+
+    ends = work.mapInPandas(look, f"k {kind}, source string, reason string, one bigint, two bigint, three bigint, label boolean, open_share double")
+    ends = written(ends.withColumn("no", F.monotonically_increasing_id()), "p5-ends")
+    open_ends = ends.where("reason is null")
+    counts = context_counts(work.select("t", "char_limit", "byte_limit"), _asked_bits(open_ends))
+    n_texts = counts.where("key is null").agg(F.sum("n")).first()[0] or 0
+    asked = open_ends.select("no", F.posexplode(F.array("one", "two", "three")).alias("at", "key")).join(counts, "key", "left")
+    held = asked.groupBy("no").agg(*[F.coalesce(F.max(F.when(F.col("at") == i, F.col(c))), F.lit(0)).alias(f"{c}{i}") for i in range(3) for c in ("n", "n_end", "n_open")])
+    held = open_ends.select("no", "k", "source", "label", "open_share").join(held, "no")
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = ((k, s, judge_text(t, c, b, own, coder, buckets, messages, n_texts, o)) for k, s, t, c, b, o in zip(pdf["k"], pdf["source"], pdf["t"], *_limits(pdf), pdf["open_share"]))
-            yield pd.DataFrame([r for r in found if r[2]], columns=["k", "source", "reason"])
+            contexts = [list(zip(*(pdf[f"{c}{i}"] for c in ("n", "n_end", "n_open")))) for i in range(3)]
+            cut = [not _whole(a, b, c, lab, n_texts, o) for a, b, c, lab, o in zip(*contexts, pdf["label"], pdf["open_share"])]
+            yield pdf[["k", "source"]][np.array(cut, bool)].assign(reason="unfinished")
 
-    got = work.mapInPandas(judge, f"k {kind}, source string, reason string")
-    return got.select(F.col("k").alias(key), "source", "reason")
+    found = ends.where("reason is not null").select("k", "source", "reason").unionByName(held.mapInPandas(decide, f"k {kind}, source string, reason string"))
+    return found.select(F.col("k").alias(key), "source", "reason")

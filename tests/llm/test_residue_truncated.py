@@ -49,10 +49,13 @@ def test_residue_frame(spark):
 
 def _judge(text, char_limit=None, byte_limit=None):
     corpus = ["The board met in the music room. Families of grade 9 students came on July 4, 2025."] * 40 + ["More news at the music room. Tickets $5"] * 20
-    coder, buckets = truncated._Coder(), 1 << 16
-    table = np.zeros((3, buckets), np.int64)
-    truncated._counts(corpus, coder, buckets, table)
-    return truncated.judge_text(text, char_limit, byte_limit, table, coder, buckets, residue.Index())
+    why, end = truncated.judge_end(text, char_limit, byte_limit, residue.Index())
+    if why or not end:
+        return why
+    coder = truncated._Coder()
+    counts = {k: (n, e, o) for k, n, e, o in zip(*map(list, truncated._counted(*truncated._contexts(corpus, coder))))}
+    one, two, three = (counts.get(k, (0, 0, 0)) for k in truncated._context(end, coder))
+    return None if truncated._whole(one, two, three, bool(truncated.LABEL.search(end))) else "unfinished"
 
 
 @pytest.mark.parametrize(
@@ -76,6 +79,6 @@ def test_truncated_frame(spark):
     long = "Families of grade 9 students came to the music room on July 4, 2025 and "
     rows = [(i, "f", (long * 3)[:120]) for i in range(6)] + [(10, "f", None), (11, None, "One of the rooms is closed."), (12, "g", ""), (13, "f", "Short one.")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "n bigint, feed string, text string, reason string")
-    got = {r.n: r.reason for r in truncated.find_truncated(df, "n", "text", "feed", 1 << 12).collect()}
+    got = {r.n: r.reason for r in truncated.find_truncated(df, "n", "text", "feed").collect()}
     assert got == {i: "limit" for i in range(6)}
-    assert truncated.find_truncated(df.limit(0), "n", "text", "feed", 1 << 12).count() == 0
+    assert truncated.find_truncated(df.limit(0), "n", "text", "feed").count() == 0
