@@ -274,7 +274,7 @@ def entities(nodes: DataFrame, keys: tuple[str, ...], parent_field: str, specs:
     one aggregation keyed by the owning node, so a row with very many children is spread
     over tasks; scalars of inner objects climb to the entity first. Parents without
     ``parent_field`` keep their children with a null parent; rows whose own ``keys`` are
-    null can't be told apart and give no entity. Repeated rows are one.
+    null can't be told apart and give no entity. Rows repeated under the same keys repeat their entities.
     """
     children = _pivoted(nodes, keys, parent_field, specs)
     key_cols = [F.col(k) for k in keys]
